@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, decontaminate, quality_classifier, quality_rules, token_counts, token_files, toxicity
+from tidelog.llm import bpe, decontaminate, minhash, quality_classifier, quality_rules, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "total")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -56,9 +60,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": op5_bpe,
         "op6_quality_rules": op6_quality_rules,
         "op7_toxicity": op7_toxicity,
+        "op8_minhash": op8_minhash,
         "op10_token_files": op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL, "op8_minhash": minhash.ORACLE_SQL}
