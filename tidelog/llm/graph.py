@@ -51,8 +51,10 @@ def linked_groups(members: DataFrame, facts: list[str], may_link: Callable[[Call
     components, only members outside the bucket's largest component are compared with the members of other components.
     """
     own = F.struct("node", *facts)
-    leaders = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(own).alias("l0"), F.max_by(own, F.xxhash64("node")).alias("l1")).filter("size > 1").drop("size")
-    shared = materialise(members.join(leaders, "bucket"), "buckets")
+    several = materialise(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket"), "buckets")
+    members = materialise(possible(members, F.col("bucket"), several).join(several, "bucket", "left_semi"), "members")
+    leaders = members.groupBy("bucket").agg(F.min(own).alias("l0"), F.max_by(own, F.xxhash64("node")).alias("l1"))
+    shared = members.join(leaders, "bucket")
     left = lambda lead: lambda c: F.col(f"{lead}.{c}")
     pairs = None
     for lead in ("l0", "l1"):
@@ -63,7 +65,7 @@ def linked_groups(members: DataFrame, facts: list[str], may_link: Callable[[Call
     links = materialise(verify(tried), "links")
     components = connected_components(links)
 
-    placed = shared.drop("l0", "l1").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("parts > 1").drop("parts")
     rest = materialise(placed.join(mixed, "bucket"), "mixed")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, decontaminate, minhash, quality_classifier, quality_rules, token_counts, token_files, toxicity
+from tidelog.llm import bpe, decontaminate, line_dedup, minhash, quality_classifier, quality_rules, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")).select("doc_id", "n_pretokens", "n_tokens", "log_score")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnsRenamed({"__n_lines": "n_lines", "__n_dropped": "n_dropped"})
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_token_counts": op3_token_counts,
+        "op4_line_dedup": op4_line_dedup,
         "op5_bpe": op5_bpe,
         "op6_quality_rules": op6_quality_rules,
         "op7_toxicity": op7_toxicity,
