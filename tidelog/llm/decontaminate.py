@@ -13,6 +13,7 @@ from tidelog.llm.common import row_key
 
 #: A word: a run of ASCII letters and digits and of anything beyond ASCII (fixed value).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most benchmark windows to broadcast; about 100 bytes each.
 MOST_BROADCAST = 200_000
@@ -78,27 +79,28 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return whole.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, least_items: int = 2, mode: str = "documents") -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, least_items: int = 2, mode: str = "both") -> DataFrame:
     """The documents without contamination, with their own columns.
 
     ``documents`` drops those in which windows of ``least_items`` items or more occur; ``spans`` cuts the hit words out of every
-    text (from the first to the last character of each span) and keeps the rest. Clean rows are returned as they are, repeated rows included.
+    text, with the gap before each, and keeps all rows; ``both`` drops those documents and cuts what the others hold. Rows without hits are
+    returned as they are, repeated rows included.
     """
-    found = contamination(docs, benchmark, width=width, least_items=least_items)
+    if mode not in ("documents", "spans", "both"):
+        raise ValueError("mode is 'documents', 'spans' or 'both'")
+    found = contamination(docs, benchmark, width=width, least_items=least_items).filter(F.size("spans") > 0)
     keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text").cast("string")))
-    if mode == "documents":
-        dirty = found.filter("contaminated").select(F.col("key").alias("__key"))
-        return keyed.join(dirty, "__key", "left_anti").drop("__key")
+    joined = keyed.join(found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans"), F.col("contaminated").alias("__contaminated")), "__key", "left")
     if mode != "spans":
-        raise ValueError("mode is 'documents' or 'spans'")
-    dirty = found.filter(F.size("spans") > 0).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    # words and the gaps between them alternate: gaps[i] lies before word i, the last gap behind the last word
-    text = F.col("text").cast("string")
-    gaps, own = F.split(text, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1), F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    kept = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: ~F.exists("__spans", lambda s: (i >= s["start"]) & (i < s["end"])))
-    rest = F.concat(F.array_join(F.transform(kept, lambda i: F.concat(F.get(gaps, i - 1), F.get(own, i - 1))), ""), F.get(gaps, F.size(gaps) - 1))
-    joined = keyed.join(dirty, "__key", "left")
-    return joined.withColumn("text", F.when(F.col("__spans").isNotNull(), rest).otherwise(text)).select(*docs.columns)
+        joined = joined.filter(~F.coalesce("__contaminated", F.lit(False)))
+    if mode != "documents":
+        # words and the gaps between them alternate: gaps[i] lies before word i, the last gap behind the last word
+        text = F.col("text").cast("string")
+        gaps, own = F.split(text, ANY_CASE_WORD, -1), F.regexp_extract_all(text, F.lit(ANY_CASE_WORD), F.lit(0))
+        kept = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: ~F.exists("__spans", lambda s: (i >= s["start"]) & (i < s["end"])))
+        rest = F.concat(F.array_join(F.transform(kept, lambda i: F.concat(F.get(gaps, i - 1), F.get(own, i - 1))), ""), F.get(gaps, F.size(gaps) - 1))
+        joined = joined.withColumn("text", F.when(F.col("__spans").isNotNull(), rest).otherwise(text))
+    return joined.select(*docs.columns)
 
 
 ORACLE_SQL = r"""
