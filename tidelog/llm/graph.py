@@ -42,18 +42,23 @@ def possible(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     return found.filter(F.call_function("shiftrightunsigned", F.col("__bits"), F.col("__bit")).bitwiseAND(F.lit(1).cast("long")) == 1).select(*rows.columns)
 
 
-def linked_groups(members: DataFrame, facts: list[str], may_link: Callable[[Callable, Callable], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _both(first: Callable[[Callable, Callable], Column], second: Callable[[Callable, Callable], Column]) -> Callable[[Callable, Callable], Column]:
+    return lambda left, right: first(left, right) & second(left, right)
+
+
+def linked_groups(members: DataFrame, facts: list[str], may_link: Callable[[Callable, Callable], Column], verify: Callable[[DataFrame], DataFrame], refine: tuple[Callable[[DataFrame], DataFrame], Callable[[Callable, Callable], Column]] | None = None) -> DataFrame:
     """(node, component) of all nodes with a verified link; no link between two components is left out, and no bucket's pairs are all formed.
 
     ``members`` (bucket, node, and the columns ``facts``) says which nodes stand in which bucket; ``may_link`` is a cheap necessary
     condition on two nodes' facts; ``verify`` returns those pairs (a, b) that are links. First every member is compared with
     two leaders of its bucket. Links within a component then need no more comparison: in buckets that still hold several
-    components, only members outside the bucket's largest component are compared with the members of other components.
+    components, only members outside the bucket's largest component are compared with the members of other components. For
+    these comparisons ``refine`` may give nodes more facts, by a function of a DataFrame of nodes, and a sharper necessary condition on them.
     """
     own = F.struct("node", *facts)
     several = materialise(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket"), "buckets")
     members = materialise(possible(members, F.col("bucket"), several).join(several, "bucket", "left_semi"), "members")
-    leaders = members.groupBy("bucket").agg(F.min(own).alias("l0"), F.max_by(own, F.xxhash64("node")).alias("l1"))
+    leaders = members.groupBy("bucket").agg(F.min(own).alias("l0"), F.max_by(own, F.xxhash64("node", "bucket")).alias("l1"))
     shared = members.join(leaders, "bucket")
     left = lambda lead: lambda c: F.col(f"{lead}.{c}")
     pairs = None
@@ -69,6 +74,10 @@ def linked_groups(members: DataFrame, facts: list[str], may_link: Callable[[Call
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("parts > 1").drop("parts")
     rest = materialise(placed.join(mixed, "bucket"), "mixed")
+    if refine is not None:
+        sharper = refine[0](rest.select("node").distinct())
+        facts, may_link = [*facts, *(c for c in sharper.columns if c != "node")], _both(may_link, refine[1])
+        rest = rest.join(sharper, "node")
     x = rest.filter(F.col("component") != F.col("largest")).select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("node", "component", *facts)))
     y = rest.select("bucket", "largest", *(F.col(c).alias(f"y_{c}") for c in ("node", "component", *facts)))
     once = (F.col("y_component") == F.col("largest")) | (F.col("x_node") < F.col("y_node"))

@@ -3,12 +3,14 @@
 Documents with equal shingle sets are one node. Of each of 96 minima two bits are kept and packed into three longs; nodes that
 share all four minima of one of 24 bands are candidates, the similarity of a candidate pair is estimated from the
 packed bits, corrected for chance agreement, and pairs not ruled out by it are confirmed on their full sets.
+Where many documents share a band but not all are linked, 2048 further minima with one bit each sharpen the estimate.
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**4)**24, about 3 in a million.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from tidelog.llm.graph import linked_groups, possible
 BANDS, ROWS, BITS = 24, 4, 2
 HASHES = BANDS * ROWS
 LANES = 0x5555555555555555
+#: Longs of the longer signature, 64 one-bit minima each.
+LONGS = 32
 #: Standard errors of the estimate by which a pair must fall short to be ruled out.
 ERRORS = 5.0
 
@@ -62,19 +66,20 @@ def shingle_set(text: str | None, words: WordHashes, width: int) -> np.ndarray:
 
 
 class Minima:
-    """The minima of HASHES hash functions over a set of 64-bit hashes."""
+    """The minima of ``n`` hash functions over a set of 64-bit hashes."""
 
-    def __init__(self, seed: int = 11):
+    def __init__(self, n: int = HASHES, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.a = (rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
-        self.b = rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
+        self.n, self.block = n, max(16, 49_152 // n)
+        self.a = (rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
+        self.b = rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
         self.salt = rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         x = (hashes >> np.uint64(32)).astype(np.uint32)
-        low = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
-        for at in range(0, len(x), 512):
-            np.minimum(low, (x[at : at + 512, None] * self.a + self.b).min(axis=0), out=low)
+        low = np.full(self.n, 0xFFFFFFFF, dtype=np.uint32)
+        for at in range(0, len(x), self.block):
+            np.minimum(low, (x[at : at + self.block, None] * self.a + self.b).min(axis=0), out=low)
         return low
 
     def bands(self, minima: np.ndarray) -> np.ndarray:
@@ -85,10 +90,11 @@ class Minima:
         return key.astype(np.int64)
 
     @staticmethod
-    def packed(minima: np.ndarray) -> np.ndarray:
-        """Two low bits of each (mixed) minimum, 32 to a long."""
-        low = mix(minima.astype(np.uint64)) & np.uint64(3)
-        lanes = low.reshape(len(minima), HASHES // 32, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(BITS))
+    def packed(minima: np.ndarray, bits: int = BITS) -> np.ndarray:
+        """The low bits of each (mixed) minimum, packed into longs."""
+        low = mix(minima.astype(np.uint64)) & np.uint64((1 << bits) - 1)
+        each = 64 // bits
+        lanes = low.reshape(len(minima), -1, each) << (np.arange(each, dtype=np.uint64) * np.uint64(bits))
         return np.bitwise_or.reduce(lanes, axis=2).astype(np.int64)
 
 
@@ -127,6 +133,36 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(docs.select("text"), make, "set_key binary, hashes array<long>")
 
 
+def long_signatures(docs: DataFrame, width: int) -> DataFrame:
+    """set_key and r0 .. r31: 2048 one-bit minima of each row's set."""
+
+    def make():
+        words, minima = WordHashes(), Minima(64 * LONGS, seed=12)
+
+        def step(batch: pa.RecordBatch):
+            sets = [s for t in batch.column("text").to_pylist() if len(s := shingle_set(t, words, width))]
+            packed = Minima.packed(np.array([minima.of(s) for s in sets]).reshape(len(sets), 64 * LONGS), bits=1)
+            keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array(packed[:, i]) for i in range(LONGS))], names=["set_key", *(f"r{i}" for i in range(LONGS))])
+
+        return step
+
+    return map_arrow(docs.select("text"), make, "set_key binary, " + ", ".join(f"r{i} long" for i in range(LONGS)))
+
+
+def least_estimate(share: float, hashes: int, bits: int) -> float:
+    """The estimate that a pair of similarity ``share`` falls short of by ERRORS standard errors."""
+    chance = 1 / (1 << bits)
+    same = share + (1 - share) * chance
+    return share - ERRORS * (same * (1 - same) / hashes) ** 0.5 / (1 - chance)
+
+
+def long_estimate(left, right) -> Column:
+    """Similarity from the longer signatures."""
+    unequal = reduce(lambda a, b: a + b, (F.bit_count(left(f"r{i}").bitwiseXOR(right(f"r{i}"))) for i in range(LONGS)))
+    return ((1 - unequal / (64 * LONGS)) - 0.5) / 0.5
+
+
 def estimate(left, right) -> Column:
     """Similarity from packed bits: the share of equal pairs of bits, corrected for those equal by chance (1 in 4)."""
     unequal = None
@@ -152,25 +188,31 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     nodes = materialise(nodes, "nodes")
     members = nodes.select(F.explode("bands").alias("bucket"), F.col("set_key").alias("node"), F.col("n_shingles").alias("n"), "s0", "s1", "s2")
     share = percent / 100
-    chance = 1 / (1 << BITS)
-    same = share + (1 - share) * chance
-    least = share - ERRORS * (same * (1 - same) / HASHES) ** 0.5 / (1 - chance)
+    least, least_long = least_estimate(share, HASHES, BITS), least_estimate(share, 64 * LONGS, 1)
 
     def may_link(left, right) -> Column:
         sizes = 100 * F.least(left("n"), right("n")) >= percent * F.greatest(left("n"), right("n"))
         return sizes & (estimate(left, right) >= least)
 
+    def texts_of(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The given set keys with their first document's id, and texts among which those documents' are; the join on set keys that follows is exact."""
+        wanted = materialise(keys.join(nodes.select("set_key", "first_id"), "set_key"), "wanted")
+        return wanted, possible(docs, F.col("doc_id"), wanted.select("first_id"))
+
+    def sharper(keys: DataFrame) -> DataFrame:
+        wanted, texts = texts_of(keys.withColumnRenamed("node", "set_key"))
+        found = long_signatures(texts, width).join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
+        return materialise(found.withColumnRenamed("set_key", "node"), "long-signatures")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct().join(nodes.select("set_key", "first_id"), "set_key")
-        wanted = materialise(wanted, "wanted")
-        texts = possible(docs, F.col("doc_id"), wanted.select("first_id")).join(wanted.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        wanted, texts = texts_of(pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct())
         sets = full_sets(texts, width).join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
         sets = materialise(sets, "sets")
         both = pairs.join(sets.select(F.col("set_key").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("set_key").alias("a"), F.col("hashes").alias("ha")), "a")
         common = F.size(F.array_intersect("ha", "hb"))
         return both.filter(100 * common >= percent * (F.size("ha") + F.size("hb") - common)).select("a", "b")
 
-    components = linked_groups(members, ["n", "s0", "s1", "s2"], may_link, verify)
+    components = linked_groups(members, ["n", "s0", "s1", "s2"], may_link, verify, (sharper, lambda left, right: long_estimate(left, right) >= least_long))
     placed = nodes.select("set_key", "first_id").join(components.withColumnRenamed("node", "set_key"), "set_key")
     smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_linked = placed.join(smallest, "component").select("set_key", "component_id")
