@@ -77,11 +77,11 @@ def host_verdicts(failures: DataFrame, *, most_failing: float = 0.5) -> DataFram
     """
     hosts = failures.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    strength = F.when((F.col("v") > 0) & (F.col("v") < F.col("m") * (1 - F.col("m"))), F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(1.0)
-    shrunk = (F.col("n_failed") + F.col("m") * F.col("s")) / (F.col("n_docs") + F.col("s"))
-    fitted = hosts.join(F.broadcast(prior.withColumn("s", strength)))  # one row
-    return fitted.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk > most_failing).alias("host_rejected"))
+    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()  # one row
+    mean, spread = prior["m"] or 0.0, prior["v"] or 0.0
+    strength = mean * (1 - mean) / spread - 1 if 0 < spread < mean * (1 - mean) else 1.0
+    shrunk = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
+    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk > most_failing).alias("host_rejected"))
 
 
 def apply_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", least_words: int = 50, most_repeat_percent: int = 50, most_failing: float = 0.5) -> DataFrame:
