@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import materialise
+from tidelog.llm.common import materialise, scratch, shared_path
 
 #: Bits of the filter in :func:`possible`; 1 MB, whatever the size of the data.
 FILTER_BITS = 1 << 23
@@ -55,6 +55,15 @@ def linked_groups(members: DataFrame, facts: list[str], may_link: Callable[[Call
     components, only members outside the bucket's largest component are compared with the members of other components. For
     these comparisons ``refine`` may give nodes more facts, by a function of a DataFrame of nodes, and a sharper necessary condition on them.
     """
+    spark = members.sparkSession
+    path = shared_path(spark, "groups")
+    with scratch(spark):
+        found = _linked_groups(members, facts, may_link, verify, refine)
+        found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
+def _linked_groups(members: DataFrame, facts: list[str], may_link: Callable, verify: Callable, refine: tuple[Callable, Callable] | None) -> DataFrame:
     own = F.struct("node", *facts)
     several = materialise(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket"), "buckets")
     members = materialise(possible(members, F.col("bucket"), several).join(several, "bucket", "left_semi"), "members")
