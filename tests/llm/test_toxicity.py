@@ -62,3 +62,13 @@ def test_rows(spark):
     assert len({r["score"] for r in rows if r["total"] == 0}) == 1
     assert {r["score"] for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_threats_before_their_target():
+    g = Grammar(INSULTS, STEMS)
+    one = lambda t: g.clauses(t)
+    assert one("I will kill you") == [2.5] and one("kill them") == [2.5] and g.score("I will kill you") == 2.5
+    assert one("don't kill you") == [2.0 * 0.3 + 0.5]  # negated
+    assert one('said "I will kill you"') == [2.0 * 0.6 + 0.5]  # reported
+    assert one("kill and burn them") == [4.5] and one("kill the fool, you") == [4.0 + 2.0 + 0.5]
+    assert one("kill it. you") == [] and one("they kill you") == [2.0 * 1.2]

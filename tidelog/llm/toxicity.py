@@ -121,13 +121,13 @@ class Grammar:
 
     def clauses(self, text: str) -> list[float]:
         """Scores of the clauses with an insult, or with a threat at somebody, in order."""
-        out, state, score, matched, aimed = [], 0, 0.0, False, False
+        out, state, score, matched, aimed, pending = [], 0, 0.0, False, False, 0.0
         arcs = self.machine.arcs
         for token in [*TOKEN.findall(text.lower()), "\n"]:
             if token in ".!?;\n":
                 if matched or aimed:
                     out.append(score)
-                state, score, matched, aimed = 0, 0.0, False, False
+                state, score, matched, aimed, pending = 0, 0.0, False, False, 0.0
                 continue
             symbol, weight = (REPORT, 0.0) if len(token) == 1 and token in '"“”„«»' else self.look_up(token)
             kind, extra, state = arcs[state][symbol]
@@ -135,8 +135,13 @@ class Grammar:
                 matched = matched or symbol == INSULT
                 aimed = aimed or symbol == THREAT
                 score += weight * FACTORS[kind & ~7] + extra
-            elif matched or aimed:
-                score += extra
+            elif symbol == THREAT:  # counts once a target follows
+                pending += weight * FACTORS[kind & ~7]
+            else:
+                if symbol == TARGET and pending:
+                    score, aimed, pending = score + pending, True, 0.0
+                if matched or aimed:
+                    score += extra
         return out
 
     def score(self, text: str) -> float:
