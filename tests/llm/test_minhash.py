@@ -79,3 +79,11 @@ def test_drop(spark):
     assert got.columns == docs.columns
     assert sorted(((r["doc_id"]) for r in got.collect()), key=str) == [1, 3, 4, 5, None]
     assert mh.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_drop_where_ids_repeat(spark):
+    """Rows that share an id but not their text go only if their own text is linked."""
+    a, b, own = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, a), (2, a), (2, own), (3, b), (3, own + " tail"), (4, b), (5, "x y z u v w"), (5, "other words of the same id")]
+    got = mh.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted([(1, a), (2, own), (3, b), (5, "x y z u v w"), (5, "other words of the same id")])

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import map_arrow, materialise
+from tidelog.llm.common import map_arrow, materialise, row_key
 from tidelog.llm.graph import linked_groups, possible
 
 BANDS, ROWS, BITS = 24, 4, 2
@@ -98,8 +98,8 @@ class Minima:
         return np.bitwise_or.reduce(lanes, axis=2).astype(np.int64)
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the set, null if empty), s0..s2 (packed bits), bands."""
+def signatures(docs: DataFrame, width: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, set_key (128 bits of the set, null if empty), s0..s2 (packed bits), bands, and the long columns ``more``."""
 
     def make():
         words, minima = WordHashes(), Minima()
@@ -110,11 +110,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             packed, bands = minima.packed(low), minima.bands(low)
             keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
             offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), keys, *(pa.array(packed[:, i]) for i in range(3)), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))], names=["doc_id", "n_shingles", "set_key", "s0", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), keys, *(pa.array(packed[:, i]) for i in range(3)), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel())), *(batch.column(c) for c in more)], names=["doc_id", "n_shingles", "set_key", "s0", "s1", "s2", "bands", *more])
 
         return step
 
-    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, set_key binary, s0 long, s1 long, s2 long, bands array<long>")
+    return map_arrow(docs.select("doc_id", "text", *more), make, "doc_id long, n_shingles long, set_key binary, s0 long, s1 long, s2 long, bands array<long>" + "".join(f", {c} long" for c in more))
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -182,7 +182,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     without an id are compared with nothing: their component is null and they are kept. Rows of one id are one document each.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialise(signatures(docs, width), "signatures")
+    found = _grouped(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, component (null for rows that are compared with nothing), and the long columns ``more``, of each row of ``docs`` (doc_id long, text string)."""
+    signed = materialise(signatures(docs, width, more), "signatures")
     comparable = signed.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     nodes = comparable.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "s0", "s1", "s2", "bands")))
     nodes = materialise(nodes, "nodes")
@@ -215,24 +221,29 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     components = linked_groups(members, ["n", "s0", "s1", "s2"], may_link, verify, (sharper, lambda left, right: long_estimate(left, right) >= least_long))
     placed = nodes.select("set_key", "first_id").join(components.withColumnRenamed("node", "set_key"), "set_key")
     smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_linked = placed.join(smallest, "component").select("set_key", "component_id")
-    of_node = nodes.select("set_key", "first_id").join(of_linked, "set_key", "left").select("set_key", F.coalesce("component_id", "first_id").alias("component_id"))
-    grouped = comparable.select("doc_id", "n_shingles", "set_key").join(of_node, "set_key").select("doc_id", "n_shingles", "component_id")
-    alone = signed.filter(F.col("set_key").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of_linked = placed.join(smallest, "component").select("set_key", "component_id", "component")
+    of_node = nodes.select("set_key", "first_id").join(of_linked, "set_key", "left").select("set_key", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("component", "set_key").alias("component"))
+    grouped = comparable.select("doc_id", "n_shingles", "set_key", *more).join(of_node, "set_key").select("doc_id", "n_shingles", "component_id", "component", *more)
+    alone = signed.filter(F.col("set_key").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"), *more)
+    return grouped.unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, with their own columns: one row of each group. Rows that repeat an id count as one document, of which one row stays."""
-    found = materialise(near_duplicates(docs, width=width, percent=percent), "near-duplicates")
-    ids = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept"))
-    changed = ids.filter((F.col("n") > 1) | ~F.col("kept"))
-    rest = docs.join(changed.filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = changed.filter(F.col("kept") & (F.col("n") > 1)).select("doc_id")
+    """The documents that stay, with their own columns: one row of each group, that of the smallest id. Rows equal in id and text count as one document, of which one row stays; rows that share an id alone are documents of their own."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), row_key(doc_id, text).alias("key")).select("doc_id", "text", "key.k0", "key.k1")
+    found = materialise(_grouped(rows, width, percent, ("k0", "k1")).filter(F.col("doc_id").isNotNull()).select("doc_id", "component", F.struct("k0", "k1").alias("key")), "near-duplicates")
+    first = found.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    placed = found.join(first, "component").select("key", (F.col("key") == F.col("first.key")).alias("stays"))
+    placed = placed.union(found.filter(F.col("component").isNull()).select("key", F.lit(True)))
+    changed = materialise(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("stays").alias("stays")).filter((F.col("n") > 1) | ~F.col("stays")), "changed")
+    keyed = docs.withColumn("__key", row_key(doc_id, text))
+    rest = keyed.join(changed.filter(~F.col("stays")).select(F.col("key").alias("__key")), "__key", "left_anti")
+    repeated = changed.filter(F.col("stays")).select(F.col("key").alias("__key"))
     if repeated.isEmpty():
-        return rest
-    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return rest.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        return rest.select(*docs.columns)
+    once = rest.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    return rest.join(repeated, "__key", "left_anti").select(*docs.columns).unionByName(once)
 
 
 ORACLE_SQL = r"""
