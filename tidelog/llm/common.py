@@ -2,67 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White_Space of Unicode, as a regular expression class body.
-WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. One is set only where the session has none, as in tests."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidelog-checkpoint-"))
-    return configured or sc._jsc.sc().getCheckpointDir().get()
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-#: Working tables of the open scratch() blocks.
-_scratch: list[list[str]] = []
+from tidelog.plans import Scratch, clean_shuffles, drop_path, free_name, materialise, own_columns, quoted, shared_path
 
+__all__ = ["Scratch", "clean_shuffles", "drop_path", "free_name", "materialise", "own_columns", "quoted", "shared_path"]
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    Within :func:`scratch` the table goes when the block ends.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    if _scratch:
-        _scratch[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes the working tables written within the block when it ends. What is still to be read must be written outside."""
-    paths: list[str] = []
-    _scratch.append(paths)
-    try:
-        yield
-    finally:
-        _scratch.remove(paths)
-        for path in paths:
-            drop_path(spark, path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder made by :func:`shared_path`."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+#: White_Space of Unicode, as a regular expression class body.
+WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
 def row_key(*cols: str | Column) -> Column:

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import row_key
+from tidelog.llm.common import free_name, materialise, own_columns, quoted, row_key
 
 #: A word: a run of ASCII letters and digits and of anything beyond ASCII (fixed value).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most benchmark windows to broadcast; about 100 bytes each.
 MOST_BROADCAST = 200_000
@@ -89,18 +90,26 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, width: int =
     if mode not in ("documents", "spans", "both"):
         raise ValueError("mode is 'documents', 'spans' or 'both'")
     found = contamination(docs, benchmark, width=width, least_items=least_items).filter(F.size("spans") > 0)
-    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text").cast("string")))
-    joined = keyed.join(found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans"), F.col("contaminated").alias("__contaminated")), "__key", "left")
+    found = materialise(found.select("key.k0", "key.k1", "spans", "contaminated"), "contamination")  # a few rows: whole texts are not shuffled for a second pass
+    names = [free_name(c, docs) for c in ("k0", "k1", "spans", "contaminated", "pieces")]
+    k0, k1, spans, contaminated, pieces = names
+    key = row_key(F.col("doc_id"), F.col("text").cast("string"))
+    keyed = docs.select(*own_columns(docs), key["k0"].alias(k0), key["k1"].alias(k1))
+    joined = keyed.join(found.toDF(*names[:4]), [k0, k1], "left")
     if mode != "spans":
-        joined = joined.filter(~F.coalesce("__contaminated", F.lit(False)))
-    if mode != "documents":
-        # words and the gaps between them alternate: gaps[i] lies before word i, the last gap behind the last word
-        text = F.col("text").cast("string")
-        gaps, own = F.split(text, ANY_CASE_WORD, -1), F.regexp_extract_all(text, F.lit(ANY_CASE_WORD), F.lit(0))
-        kept = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: ~F.exists("__spans", lambda s: (i >= s["start"]) & (i < s["end"])))
-        rest = F.concat(F.array_join(F.transform(kept, lambda i: F.concat(F.get(gaps, i - 1), F.get(own, i - 1))), ""), F.get(gaps, F.size(gaps) - 1))
-        joined = joined.withColumn("text", F.when(F.col("__spans").isNotNull(), rest).otherwise(text))
-    return joined.select(*docs.columns)
+        joined = joined.filter(~F.coalesce(F.col(contaminated), F.lit(False)))
+    if mode == "documents":
+        return joined.select(*own_columns(docs))
+    # A text is cut once, into pieces of a word with the gap before it; the pieces between one span and the next are then taken out as slices. The pieces are a
+    # column of their own, used twice, so that they are not found anew for each span.
+    text = F.col("text").cast("string")
+    cut = F.regexp_extract_all(text, F.lit(f"{GAP}(?:{ANY_CASE_WORD}|$)"), F.lit(0))
+    joined = joined.select(*own_columns(docs), spans, F.when(F.col(spans).isNotNull(), cut).alias(pieces))
+    ends = F.concat(F.array(F.lit(1)), F.transform(F.col(spans), lambda s: s["end"]))
+    starts = F.concat(F.transform(F.col(spans), lambda s: s["start"]), F.array(F.size(F.col(pieces)) + 1))
+    bounds = F.arrays_zip(ends.alias("start"), starts.alias("end"))
+    rest = F.array_join(F.flatten(F.transform(bounds, lambda b: F.slice(F.col(pieces), b["start"], b["end"] - b["start"]))), "")
+    return joined.select(*(F.when(F.col(spans).isNotNull(), rest).otherwise(text).alias(c) if c == "text" else F.col(quoted(c)) for c in docs.columns))
 
 
 ORACLE_SQL = r"""

@@ -1,4 +1,4 @@
-"""Connected components and candidate links with DataFrame functions only."""
+"""Connected components and candidate links with DataFrame functions only. Nodes are longs, so that all aggregates have buffers of fixed width."""
 
 from __future__ import annotations
 
@@ -7,95 +7,121 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import materialise, scratch, shared_path
+from tidelog.llm.common import Scratch, materialise
 
-#: Bits of the filter in :func:`possible`; 1 MB, whatever the size of the data.
-FILTER_BITS = 1 << 23
+#: Least and most bits of the filter in :func:`possible` (at most 8 MB to broadcast), and bits for each wanted key between them.
+FILTER_BITS, MOST_FILTER_BITS, BITS_A_KEY = 1 << 20, 1 << 26, 16
+#: Rounds of comparing with leaders, at most, and how many pairs a member may stand in before another round is tried.
+ROUNDS, PAIRS_A_MEMBER = 4, 16
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of ``edges`` (a, b): the smallest node reachable.
+def connected_components(edges: DataFrame, work: Scratch) -> DataFrame:
+    """(node, component) for the nodes of ``edges`` (a, b: long): the smallest node reachable.
 
     Each round takes the least label of the neighbours and then the label of the label, so that chains shorten by half
     or more. Labels are written to the shared folder after each round. No edges give no rows; loops and repeated edges do no harm.
     """
     edges = edges.filter(F.col("a") != F.col("b"))
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
+    both = work.table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "neighbours")
+    labels = work.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         met = labels.join(near, "node").select("node", F.least("component", "near").alias("label"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("label"), F.col("component").alias("further"))
-        labels = materialise(met.join(jump, "label").select("node", F.least("label", "further").alias("component"), "was"), "labels")
-        if labels.filter(F.col("component") != F.col("was")).isEmpty():
-            return labels.drop("was")
-        labels = labels.drop("was")
-
-
-def possible(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
-    """The rows whose key may be among ``wanted`` (one column): a one-hash filter of FILTER_BITS bits is broadcast. An exact semi-join follows elsewhere."""
-    slot = F.pmod(F.xxhash64(F.col(wanted.columns[0])), F.lit(FILTER_BITS))
+        after = work.table(met.join(jump, "label").select("node", F.least("label", "further").alias("component"), "was"), "labels")
+        work.drop(labels)
+        labels = after.drop("was")
+        if after.filter(F.col("component") != F.col("was")).isEmpty():
+            work.drop(both)
+            return labels
+
+
+def possible(rows: DataFrame, key: Column, wanted: DataFrame, n: int | None = None) -> DataFrame:
+    """The rows whose key may be among ``wanted`` (one column, about ``n`` rows): a one-hash filter, at most 8 MB, is broadcast. An exact join follows elsewhere."""
+    bits = FILTER_BITS
+    while n is not None and bits < min(n * BITS_A_KEY, MOST_FILTER_BITS):
+        bits *= 2
+    slot = F.pmod(F.xxhash64(F.col(wanted.columns[0])), F.lit(bits))
     words = wanted.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).cast("long").alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))).alias("__bits"))
-    own = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    own = F.pmod(F.xxhash64(key), F.lit(bits))
     marked = rows.withColumn("__word", F.floor(own / 64).cast("long")).withColumn("__bit", F.pmod(own, F.lit(64)).cast("int"))
     found = marked.join(F.broadcast(words), "__word")
     return found.filter(F.call_function("shiftrightunsigned", F.col("__bits"), F.col("__bit")).bitwiseAND(F.lit(1).cast("long")) == 1).select(*rows.columns)
 
 
-def _both(first: Callable[[Callable, Callable], Column], second: Callable[[Callable, Callable], Column]) -> Callable[[Callable, Callable], Column]:
-    return lambda left, right: first(left, right) & second(left, right)
+def linked_groups(nodes: DataFrame, may_link: Callable[[Callable, Callable], Column], verify: Callable[[DataFrame, Scratch], DataFrame], sharper: Callable[[DataFrame, Scratch], DataFrame] | None = None, may_link_sharper: Callable[[Callable, Callable], Column] | None = None) -> DataFrame:
+    """(node, component) of all nodes with a verified link; no link between two components is left out.
 
+    ``nodes`` has a row for each node: node (long), keys (array of long: the buckets that it stands in) and facts; ``may_link`` is
+    a cheap necessary condition on two nodes' facts; ``verify`` adds ``linked`` to pairs (a, b).
 
-def linked_groups(members: DataFrame, facts: list[str], may_link: Callable[[Callable, Callable], Column], verify: Callable[[DataFrame], DataFrame], refine: tuple[Callable[[DataFrame], DataFrame], Callable[[Callable, Callable], Column]] | None = None) -> DataFrame:
-    """(node, component) of all nodes with a verified link; no link between two components is left out, and no bucket's pairs are all formed.
-
-    ``members`` (bucket, node, and the columns ``facts``) says which nodes stand in which bucket; ``may_link`` is a cheap necessary
-    condition on two nodes' facts; ``verify`` returns those pairs (a, b) that are links. First every member is compared with
-    two leaders of its bucket. Links within a component then need no more comparison: in buckets that still hold several
-    components, only members outside the bucket's largest component are compared with the members of other components. For
-    these comparisons ``refine`` may give nodes more facts, by a function of a DataFrame of nodes, and a sharper necessary condition on them.
+    First every member is compared with two leaders of its bucket. Links within a component then need no more comparison. In buckets that
+    still hold several components, members outside the bucket's largest component are compared with other leaders, and components are joined,
+    round after round while comparing all of them would take many more pairs than there are members; a round adds three pairs a member at most. In the
+    end the members that are still outside are compared with all members of other components, so that no link depends on the rounds. For that step
+    ``sharper`` may give a table of nodes more facts, and ``may_link_sharper`` a condition on them.
     """
-    spark = members.sparkSession
-    path = shared_path(spark, "groups")
-    with scratch(spark):
-        found = _linked_groups(members, facts, may_link, verify, refine)
-        found.write.parquet(path)
-    return spark.read.schema(found.schema).parquet(path)
-
-
-def _linked_groups(members: DataFrame, facts: list[str], may_link: Callable, verify: Callable, refine: tuple[Callable, Callable] | None) -> DataFrame:
-    own = F.struct("node", *facts)
-    several = materialise(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket"), "buckets")
-    members = materialise(possible(members, F.col("bucket"), several).join(several, "bucket", "left_semi"), "members")
-    leaders = members.groupBy("bucket").agg(F.min(own).alias("l0"), F.max_by(own, F.xxhash64("node", "bucket")).alias("l1"))
-    shared = members.join(leaders, "bucket")
-    left = lambda lead: lambda c: F.col(f"{lead}.{c}")
-    pairs = None
-    for lead in ("l0", "l1"):
-        some = shared.filter((F.col("node") != F.col(f"{lead}.node")) & may_link(left(lead), F.col))
-        some = some.select(F.least("node", F.col(f"{lead}.node")).alias("a"), F.greatest("node", F.col(f"{lead}.node")).alias("b"))
-        pairs = some if pairs is None else pairs.union(some)
-    tried = materialise(pairs.distinct(), "pairs")
-    links = materialise(verify(tried), "links")
-    components = connected_components(links)
-
-    placed = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("parts > 1").drop("parts")
-    rest = materialise(placed.join(mixed, "bucket"), "mixed")
-    if refine is not None:
-        sharper = refine[0](rest.select("node").distinct())
-        facts, may_link = [*facts, *(c for c in sharper.columns if c != "node")], _both(may_link, refine[1])
-        rest = rest.join(sharper, "node")
-    x = rest.filter(F.col("component") != F.col("largest")).select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("node", "component", *facts)))
-    y = rest.select("bucket", "largest", *(F.col(c).alias(f"y_{c}") for c in ("node", "component", *facts)))
-    once = (F.col("y_component") == F.col("largest")) | (F.col("x_node") < F.col("y_node"))
+    with Scratch(nodes.sparkSession) as work:
+        return materialise(_linked_groups(nodes, may_link, verify, sharper, may_link_sharper, work), "groups")
+
+
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _linked_groups(nodes: DataFrame, may_link: Callable, verify: Callable, sharper: Callable | None, may_link_sharper: Callable | None, work: Scratch) -> DataFrame:
+    facts = [c for c in nodes.columns if c not in ("node", "keys")]
+
+    def links_among(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(held.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in facts)), side)
+        some = work.table(pairs.filter(may_link(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b"), "candidates")
+        # links are told apart only when they have been written: a filter would be pushed into the expressions that find them
+        return work.table(verify(some, work), "links").filter("linked").select("a", "b")
+
+    members = nodes.select(F.explode("keys").alias("bucket"), "node")
+    several = members.groupBy("bucket").agg(F.min("node").alias("l0"), F.max("node").alias("l1")).filter("l0 < l1")
+    members = work.table(members.join(work.table(several, "buckets"), "bucket"), "members")
+    held = work.table(nodes.join(members.select("node").distinct(), "node"), "facts")
+    tried = work.table(members.filter("node <> l0").select(*_ordered("node", "l0")).union(members.filter("node <> l1").select(*_ordered("node", "l1"))).distinct(), "pairs")
+    links = links_among(tried)
+    components = connected_components(links, work)
+    for number in range(ROUNDS + 1):
+        placed = members.select("bucket", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max_by("component", "n").alias("largest")).filter("parts > 1")
+        rest = work.table(placed.join(mixed, "bucket").withColumn("outside", F.col("component") != F.col("largest")), "mixed")
+        cost = rest.agg(F.count(F.lit(1)).alias("members"), F.coalesce(F.sum(F.when(F.col("outside"), F.col("n"))), F.lit(0)).alias("pairs")).first()
+        if number == ROUNDS or cost["pairs"] <= PAIRS_A_MEMBER * cost["members"]:
+            break
+        order = F.xxhash64(F.lit(number), "bucket", "node")
+        inside, outside = F.when(~F.col("outside"), order), F.when(F.col("outside"), order)
+        leaders = rest.groupBy("bucket").agg(F.min_by("node", inside).alias("l0"), F.max_by("node", inside).alias("l1"), F.min_by("node", outside).alias("l2"))
+        shared = rest.filter("outside").select("bucket", "node").join(leaders, "bucket").select("node", F.explode(F.array("l0", "l1", "l2")).alias("lead"))
+        fresh = work.table(shared.filter("node <> lead").select(*_ordered("node", "lead")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(fresh)
+        found = links_among(fresh)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        components = connected_components(links, work)
+        work.drop(rest)
+    if not cost["pairs"]:
+        return components
+    if sharper is not None:
+        held = held.join(sharper(rest.select("node").distinct(), work), "node")
+        may_link, facts = may_link_sharper, [c for c in held.columns if c not in ("node", "keys")]
+    held = rest.select("bucket", "node", "component", "largest", "outside").join(held, "node")
+    x, y = (held.select("bucket", *(F.col(c).alias(f"{side}_{c}") for c in held.columns if c != "bucket")) for side in "xy")
+    once = (F.col("y_component") == F.col("x_largest")) | (F.col("x_node") < F.col("y_node"))
     condition = (x["bucket"] == y["bucket"]) & (F.col("x_component") != F.col("y_component")) & once & may_link(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
-    more = x.join(y, condition).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    more = materialise(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+    # a pair that shares several buckets is made in the first of them alone
+    condition = condition & (F.get(F.array_intersect("x_keys", "y_keys"), F.lit(0)) == x["bucket"])
+    more = x.filter("x_outside").join(y, condition).select(*_ordered("x_node", "y_node"))
+    more = work.table(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return components
-    found = materialise(verify(more), "links")
+    found = work.table(verify(more, work), "links").filter("linked").select("a", "b")
     if found.isEmpty():
         return components
-    return connected_components(links.union(found))
+    return connected_components(links.union(found), work)

@@ -10,6 +10,7 @@ At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**4)**24,
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import map_arrow, materialise, row_key
+from tidelog.llm.common import Scratch, free_name, map_arrow, materialise, own_columns, row_key
 from tidelog.llm.graph import linked_groups, possible
 
 BANDS, ROWS, BITS = 24, 4, 2
@@ -98,8 +99,15 @@ class Minima:
         return np.bitwise_or.reduce(lanes, axis=2).astype(np.int64)
 
 
+def set_keys(sets: list[np.ndarray]) -> list[pa.Array]:
+    """128 bits of each set as two arrays of longs; null where a set is empty."""
+    digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+    return [pa.array([d and int.from_bytes(d[at : at + 8], "little", signed=True) for d in digests], pa.int64()) for at in (0, 8)]
+
+
 def signatures(docs: DataFrame, width: int, more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the set, null if empty), s0..s2 (packed bits), bands, and the long columns ``more``."""
+    """doc_id, n_shingles, k0, k1 (128 bits of the set, null if empty), s0..s2 (packed bits), b0..b23 (bands' keys), and the long columns ``more``."""
+    names = ["s0", "s1", "s2", *(f"b{i}" for i in range(BANDS))]
 
     def make():
         words, minima = WordHashes(), Minima()
@@ -107,34 +115,31 @@ def signatures(docs: DataFrame, width: int, more: tuple[str, ...] = ()) -> DataF
         def step(batch: pa.RecordBatch):
             sets = [shingle_set(t, words, width) for t in batch.column("text").to_pylist()]
             low = np.array([minima.of(s) for s in sets])
-            packed, bands = minima.packed(low), minima.bands(low)
-            keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
-            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), keys, *(pa.array(packed[:, i]) for i in range(3)), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel())), *(batch.column(c) for c in more)], names=["doc_id", "n_shingles", "set_key", "s0", "s1", "s2", "bands", *more])
+            facts = np.concatenate([minima.packed(low), minima.bands(low)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *set_keys(sets), *(pa.array(np.ascontiguousarray(facts[:, i])) for i in range(len(names))), *(batch.column(c) for c in more)], names=["doc_id", "n_shingles", "k0", "k1", *names, *more])
 
         return step
 
-    return map_arrow(docs.select("doc_id", "text", *more), make, "doc_id long, n_shingles long, set_key binary, s0 long, s1 long, s2 long, bands array<long>" + "".join(f", {c} long" for c in more))
+    return map_arrow(docs.select("doc_id", "text", *more), make, ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "k0", "k1", *names, *more)))
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """set_key and the hashes of the full set of each row."""
+    """k0, k1 and the hashes of the full set of each row."""
 
     def make():
         words = WordHashes()
 
         def step(batch: pa.RecordBatch):
             sets = [s for t in batch.column("text").to_pylist() if len(s := shingle_set(t, words, width))]
-            keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set_key", "hashes"])
+            yield pa.RecordBatch.from_arrays([*set_keys(sets), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["k0", "k1", "hashes"])
 
         return step
 
-    return map_arrow(docs.select("text"), make, "set_key binary, hashes array<long>")
+    return map_arrow(docs.select("text"), make, "k0 long, k1 long, hashes array<long>")
 
 
 def long_signatures(docs: DataFrame, width: int) -> DataFrame:
-    """set_key and r0 .. r31: 2048 one-bit minima of each row's set."""
+    """k0, k1 and r0 .. r31: 2048 one-bit minima of each row's set."""
 
     def make():
         words, minima = WordHashes(), Minima(64 * LONGS, seed=12)
@@ -142,12 +147,11 @@ def long_signatures(docs: DataFrame, width: int) -> DataFrame:
         def step(batch: pa.RecordBatch):
             sets = [s for t in batch.column("text").to_pylist() if len(s := shingle_set(t, words, width))]
             packed = Minima.packed(np.array([minima.of(s) for s in sets]).reshape(len(sets), 64 * LONGS), bits=1)
-            keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array(packed[:, i]) for i in range(LONGS))], names=["set_key", *(f"r{i}" for i in range(LONGS))])
+            yield pa.RecordBatch.from_arrays([*set_keys(sets), *(pa.array(packed[:, i]) for i in range(LONGS))], names=["k0", "k1", *(f"r{i}" for i in range(LONGS))])
 
         return step
 
-    return map_arrow(docs.select("text"), make, "set_key binary, " + ", ".join(f"r{i} long" for i in range(LONGS)))
+    return map_arrow(docs.select("text"), make, "k0 long, k1 long, " + ", ".join(f"r{i} long" for i in range(LONGS)))
 
 
 def least_estimate(share: float, hashes: int, bits: int) -> float:
@@ -187,63 +191,73 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
 
 
 def _grouped(docs: DataFrame, width: int, percent: int, more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id, component (null for rows that are compared with nothing), and the long columns ``more``, of each row of ``docs`` (doc_id long, text string)."""
-    signed = materialise(signatures(docs, width, more), "signatures")
-    comparable = signed.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = comparable.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "s0", "s1", "s2", "bands")))
-    nodes = materialise(nodes, "nodes")
-    members = nodes.select(F.explode("bands").alias("bucket"), F.col("set_key").alias("node"), F.col("n_shingles").alias("n"), "s0", "s1", "s2")
-    share = percent / 100
-    least, least_long = least_estimate(share, HASHES, BITS), least_estimate(share, 64 * LONGS, 1)
-
-    def may_link(left, right) -> Column:
-        sizes = 100 * F.least(left("n"), right("n")) >= percent * F.greatest(left("n"), right("n"))
-        return sizes & (estimate(left, right) >= least)
-
-    def texts_of(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The given set keys with their first document's id, and texts among which those documents' are; the join on set keys that follows is exact."""
-        wanted = materialise(keys.join(nodes.select("set_key", "first_id"), "set_key"), "wanted")
-        return wanted, possible(docs, F.col("doc_id"), wanted.select("first_id"))
-
-    def sharper(keys: DataFrame) -> DataFrame:
-        wanted, texts = texts_of(keys.withColumnRenamed("node", "set_key"))
-        found = long_signatures(texts, width).join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
-        return materialise(found.withColumnRenamed("set_key", "node"), "long-signatures")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted, texts = texts_of(pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct())
-        sets = full_sets(texts, width).join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
-        sets = materialise(sets, "sets")
-        both = pairs.join(sets.select(F.col("set_key").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("set_key").alias("a"), F.col("hashes").alias("ha")), "a")
-        common = F.size(F.array_intersect("ha", "hb"))
-        return both.filter(100 * common >= percent * (F.size("ha") + F.size("hb") - common)).select("a", "b")
-
-    components = linked_groups(members, ["n", "s0", "s1", "s2"], may_link, verify, (sharper, lambda left, right: long_estimate(left, right) >= least_long))
-    placed = nodes.select("set_key", "first_id").join(components.withColumnRenamed("node", "set_key"), "set_key")
-    smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_linked = placed.join(smallest, "component").select("set_key", "component_id", "component")
-    of_node = nodes.select("set_key", "first_id").join(of_linked, "set_key", "left").select("set_key", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("component", "set_key").alias("component"))
-    grouped = comparable.select("doc_id", "n_shingles", "set_key", *more).join(of_node, "set_key").select("doc_id", "n_shingles", "component_id", "component", *more)
-    alone = signed.filter(F.col("set_key").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"), *more)
-    return grouped.unionByName(alone)
+    """doc_id, n_shingles, component_id, component (null for rows that are linked with no other text and have no copy), and the long columns ``more``, of each row of ``docs`` (doc_id long, text string)."""
+    with Scratch(docs.sparkSession) as work:
+        facts = ["s0", "s1", "s2", *(f"b{i}" for i in range(BANDS))]
+        signed = work.table(signatures(docs, width, more), "signatures")
+        comparable = signed.filter(F.col("k0").isNotNull() & F.col("doc_id").isNotNull())
+        nodes = comparable.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), *(F.min(c).alias(c) for c in facts))
+        nodes = work.table(nodes.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
+        share = percent / 100
+        least, least_long = least_estimate(share, HASHES, BITS), least_estimate(share, 64 * LONGS, 1)
+
+        def may_link(left, right) -> Column:
+            sizes = 100 * F.least(left("n"), right("n")) >= percent * F.greatest(left("n"), right("n"))
+            return sizes & (estimate(left, right) >= least)
+
+        def may_link_sharper(left, right) -> Column:
+            return may_link(left, right) & (long_estimate(left, right) >= least_long)
+
+        def of_texts(make: Callable[[DataFrame, int], DataFrame], keys: DataFrame, scope: Scratch, label: str) -> DataFrame:
+            """What ``make`` finds for the texts of the given nodes: node and its columns but the set's key."""
+            wanted = scope.table(nodes.select("node", "k0", "k1", "first_id").join(keys, "node"), "wanted")
+            texts = possible(docs, F.col("doc_id"), wanted.select("first_id"), wanted.count())  # other texts that pass do no harm: the join on keys is exact
+            found = make(texts, width).join(wanted.select("k0", "k1", "node"), ["k0", "k1"]).drop("k0", "k1")
+            return scope.table(found.groupBy("node").agg(*(F.first(c).alias(c) for c in found.columns if c != "node")), label)
+
+        def sharper(keys: DataFrame, scope: Scratch) -> DataFrame:
+            return of_texts(long_signatures, keys, scope, "long-signatures")
+
+        def verify(pairs: DataFrame, scope: Scratch) -> DataFrame:
+            sets = of_texts(full_sets, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), scope, "sets")
+            both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+            both = both.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("common"))
+            return both.select("a", "b", (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked"))
+
+        keys = F.array(*(f"b{i}" for i in range(BANDS))).alias("keys")
+        components = linked_groups(nodes.select("node", keys, "n", "s0", "s1", "s2"), may_link, verify, sharper, may_link_sharper)
+        # only sets with copies or links: the others' rows need no join
+        placed = nodes.select("k0", "k1", "node", "rows", "first_id").join(components, "node", "left").filter((F.col("rows") > 1) | F.col("component").isNotNull())
+        placed = work.table(placed.select("k0", "k1", "first_id", F.coalesce("component", "node").alias("component")), "grouped-sets")
+        smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        of_set = work.table(placed.join(smallest, "component").select("k0", "k1", "component", "component_id"), "components")
+        rows = signed.select("doc_id", "n_shingles", *more, *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("k0", "k1")))
+        found = rows.join(of_set, ["k0", "k1"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", *more)
+        return materialise(found, "near-duplicates")
 
 
 def drop_near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, with their own columns: one row of each group, that of the smallest id. Rows equal in id and text count as one document, of which one row stays; rows that share an id alone are documents of their own."""
+    """The documents that stay, with their own columns: one row of each group, that of the smallest id. Rows equal in id and text count as one document, of which one row stays; rows that share an id alone are documents of their own.
+
+    Rows without an id or without words all stay, but equal ones only once where they have an id. An empty table gives none.
+    """
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), row_key(doc_id, text).alias("key")).select("doc_id", "text", "key.k0", "key.k1")
-    found = materialise(_grouped(rows, width, percent, ("k0", "k1")).filter(F.col("doc_id").isNotNull()).select("doc_id", "component", F.struct("k0", "k1").alias("key")), "near-duplicates")
-    first = found.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first"))
-    placed = found.join(first, "component").select("key", (F.col("key") == F.col("first.key")).alias("stays"))
-    placed = placed.union(found.filter(F.col("component").isNull()).select("key", F.lit(True)))
-    changed = materialise(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("stays").alias("stays")).filter((F.col("n") > 1) | ~F.col("stays")), "changed")
-    keyed = docs.withColumn("__key", row_key(doc_id, text))
-    rest = keyed.join(changed.filter(~F.col("stays")).select(F.col("key").alias("__key")), "__key", "left_anti")
-    repeated = changed.filter(F.col("stays")).select(F.col("key").alias("__key"))
+    found = _grouped(rows.withColumnsRenamed({"k0": "r0", "k1": "r1"}), width, percent, ("r0", "r1")).filter(F.col("doc_id").isNotNull()).select("doc_id", "component", "r0", "r1")
+    first = found.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "r0", "r1")).alias("first"))
+    placed = found.filter(F.col("component").isNotNull()).join(first, "component").select("r0", "r1", ((F.col("r0") == F.col("first.r0")) & (F.col("r1") == F.col("first.r1"))).alias("stays"))
+    placed = placed.union(found.filter(F.col("component").isNull()).select("r0", "r1", F.lit(True)))
+    changed = materialise(placed.groupBy("r0", "r1").agg(F.count(F.lit(1)).alias("n"), F.min("stays").alias("stays")).filter((F.col("n") > 1) | ~F.col("stays")), "changed")
+    names = [free_name(c, docs) for c in ("r0", "r1")]
+    key = row_key(doc_id, text)
+    keyed = docs.select(*own_columns(docs), *(key[f"k{i}"].alias(c) for i, c in enumerate(names)))
+    marked = lambda rows: rows.select(*(F.col(f"r{i}").alias(c) for i, c in enumerate(names)))
+    rest = keyed.join(marked(changed.filter(~F.col("stays"))), names, "left_anti")
+    repeated = marked(changed.filter("stays"))
     if repeated.isEmpty():
-        return rest.select(*docs.columns)
-    once = rest.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
-    return rest.join(repeated, "__key", "left_anti").select(*docs.columns).unionByName(once)
+        return rest.select(*own_columns(docs))
+    once = rest.join(repeated, names, "left_semi").dropDuplicates(names).select(*own_columns(docs))
+    return rest.join(repeated, names, "left_anti").select(*own_columns(docs)).unionByName(once)
 
 
 ORACLE_SQL = r"""

@@ -33,7 +33,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnsRenamed({"__n_lines": "n_lines", "__n_dropped": "n_dropped"})
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_dropped"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
