@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidelog.llm import quality_classifier as qc
@@ -44,3 +45,37 @@ def test_rows(spark):
     got = qc.keep_sampled(docs, labels)
     assert got.columns == docs.columns and got.count() == 4
     assert qc.classify(docs.limit(0), labels).count() == 0 and qc.keep_sampled(docs, labels.limit(0)).count() == 4
+
+
+def test_inclusion_follows_the_weights(spark):
+    """Of five rows, the one with the largest key: over many seeds each comes first as often as its weight says."""
+    weights = [0.0, 0.5, 1.0, -1.0, 2.0]
+    rows = spark.createDataFrame(list(enumerate(weights)), "i long, w double").crossJoin(spark.range(4000).withColumnRenamed("id", "seed"))
+    first = rows.withColumn("key", F.col("w") + qc.gumbel(F.col("seed"), F.col("i"))).groupBy("seed").agg(F.max_by("i", "key").alias("i")).groupBy("i").count().collect()
+    want = np.exp(weights) / np.exp(weights).sum()
+    assert {r["i"]: r["count"] / 4000 for r in first} == pytest.approx(dict(enumerate(want)), abs=0.03)
+
+
+def test_sample_is_gumbel_top_k(spark):
+    """Brute force: noise decides between like documents, and the weight between unlike ones."""
+    rng = np.random.default_rng(1)
+    good = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 30)) for _ in range(60)]
+    bad = [" ".join(rng.choice(["###", "$$$"], 30)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(0, 80, 2)], "doc_id long, quality int")
+    got = qc.classify(docs, labels, share=0.5).collect()
+    top = sorted(got, key=lambda r: -r["gumbel_key"])[:40]
+    assert {r["doc_id"] for r in got if r["kept"]} == {r["doc_id"] for r in top} and all(r["doc_id"] < 60 for r in top)
+    assert {r["doc_id"] for r in top} != {r["doc_id"] for r in sorted(got, key=lambda r: -r["log_weight"])[:40]}
+    assert {r["doc_id"] for r in qc.classify(docs, labels, share=0.5, seed=3).collect() if r["kept"]} != {r["doc_id"] for r in top}
+    assert {r["doc_id"] for r in qc.keep_sampled(docs, labels, share=0.5).collect()} == {r["doc_id"] for r in top}
+    assert 58 <= qc.classify(docs, labels).filter("kept").count() <= 62
+
+
+def test_logistic_fit():
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 20, 5000)
+    y = (rng.random(5000) < 1 / (1 + np.exp(-(1 + 0.3 * x)))).astype(float)
+    offset, slope = qc.fit_logistic(x, y)
+    assert offset == pytest.approx(1, abs=0.25) and slope == pytest.approx(0.3, abs=0.04)
+    assert qc.fit_logistic(np.array([0.0, 0.0]), np.array([1.0, 1.0]))[0] > 0

@@ -11,8 +11,8 @@ from tidelog.llm.common import Scratch, materialise
 
 #: Least and most bits of the filter in :func:`possible` (at most 8 MB to broadcast), and bits for each wanted key between them.
 FILTER_BITS, MOST_FILTER_BITS, BITS_A_KEY = 1 << 20, 1 << 26, 16
-#: Rounds of comparing with leaders, at most, and how many pairs a member may stand in before another round is tried.
-ROUNDS, PAIRS_A_MEMBER = 4, 16
+#: One in so many buckets takes part in the first comparison. Further rounds of comparing with leaders, at most, and how many pairs a member may stand in before one is tried.
+FIRST, ROUNDS, PAIRS_A_MEMBER = 4, 2, 16
 
 
 def connected_components(edges: DataFrame, work: Scratch) -> DataFrame:
@@ -55,9 +55,9 @@ def linked_groups(nodes: DataFrame, may_link: Callable[[Callable, Callable], Col
     ``nodes`` has a row for each node: node (long), keys (array of long: the buckets that it stands in) and facts; ``may_link`` is
     a cheap necessary condition on two nodes' facts; ``verify`` adds ``linked`` to pairs (a, b).
 
-    First every member is compared with two leaders of its bucket. Links within a component then need no more comparison. In buckets that
+    First, in one of FIRST buckets, every member is compared with one leader. Links within a component then need no more comparison. In buckets that
     still hold several components, members outside the bucket's largest component are compared with other leaders, and components are joined,
-    round after round while comparing all of them would take many more pairs than there are members; a round adds three pairs a member at most. In the
+    round after round while comparing all of them would take many more pairs than there are members; a round adds two pairs a member at most. In the
     end the members that are still outside are compared with all members of other components, so that no link depends on the rounds. For that step
     ``sharper`` may give a table of nodes more facts, and ``may_link_sharper`` a condition on them.
     """
@@ -72,18 +72,21 @@ def _ordered(x: str, y: str) -> list[Column]:
 def _linked_groups(nodes: DataFrame, may_link: Callable, verify: Callable, sharper: Callable | None, may_link_sharper: Callable | None, work: Scratch) -> DataFrame:
     facts = [c for c in nodes.columns if c not in ("node", "keys")]
 
-    def links_among(pairs: DataFrame) -> DataFrame:
+    def candidates(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(held.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in facts)), side)
-        some = work.table(pairs.filter(may_link(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b"), "candidates")
+        return work.table(pairs.filter(may_link(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b"), "candidates")
+
+    def links_among(pairs: DataFrame) -> DataFrame:
         # links are told apart only when they have been written: a filter would be pushed into the expressions that find them
-        return work.table(verify(some, work), "links").filter("linked").select("a", "b")
+        return work.table(verify(pairs, work), "links").filter("linked").select("a", "b")
 
     members = nodes.select(F.explode("keys").alias("bucket"), "node")
-    several = members.groupBy("bucket").agg(F.min("node").alias("l0"), F.max("node").alias("l1")).filter("l0 < l1")
+    several = members.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select("bucket", "lead")
     members = work.table(members.join(work.table(several, "buckets"), "bucket"), "members")
     held = work.table(nodes.join(members.select("node").distinct(), "node"), "facts")
-    tried = work.table(members.filter("node <> l0").select(*_ordered("node", "l0")).union(members.filter("node <> l1").select(*_ordered("node", "l1"))).distinct(), "pairs")
+    first = members.filter(F.col("node") != F.col("lead")).filter(F.pmod(F.xxhash64("bucket"), F.lit(FIRST)) == 0)
+    tried = candidates(first.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     links = links_among(tried)
     components = connected_components(links, work)
     for number in range(ROUNDS + 1):
@@ -94,16 +97,14 @@ def _linked_groups(nodes: DataFrame, may_link: Callable, verify: Callable, sharp
         cost = rest.agg(F.count(F.lit(1)).alias("members"), F.coalesce(F.sum(F.when(F.col("outside"), F.col("n"))), F.lit(0)).alias("pairs")).first()
         if number == ROUNDS or cost["pairs"] <= PAIRS_A_MEMBER * cost["members"]:
             break
-        order = F.xxhash64(F.lit(number), "bucket", "node")
-        inside, outside = F.when(~F.col("outside"), order), F.when(F.col("outside"), order)
-        leaders = rest.groupBy("bucket").agg(F.min_by("node", inside).alias("l0"), F.max_by("node", inside).alias("l1"), F.min_by("node", outside).alias("l2"))
-        shared = rest.filter("outside").select("bucket", "node").join(leaders, "bucket").select("node", F.explode(F.array("l0", "l1", "l2")).alias("lead"))
-        fresh = work.table(shared.filter("node <> lead").select(*_ordered("node", "lead")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(fresh)
+        order = F.xxhash64(F.lit(number), "node")
+        leaders = rest.groupBy("bucket").agg(F.min_by("node", F.when(~F.col("outside"), order)).alias("l0"), F.min_by("node", F.when(F.col("outside"), order)).alias("l1"))
+        shared = rest.filter("outside").select("bucket", "node").join(leaders, "bucket").select("node", F.explode(F.array("l0", "l1")).alias("lead"))
+        fresh = candidates(shared.filter("node <> lead").select(*_ordered("node", "lead")).distinct().join(tried, ["a", "b"], "left_anti"))
         found = links_among(fresh)
         if found.isEmpty():
             break
-        links = links.union(found)
+        tried, links = tried.union(fresh), links.union(found)
         components = connected_components(links, work)
         work.drop(rest)
     if not cost["pairs"]:
@@ -121,7 +122,7 @@ def _linked_groups(nodes: DataFrame, may_link: Callable, verify: Callable, sharp
     more = work.table(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return components
-    found = work.table(verify(more, work), "links").filter("linked").select("a", "b")
+    found = links_among(more)
     if found.isEmpty():
         return components
     return connected_components(links.union(found), work)

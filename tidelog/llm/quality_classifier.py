@@ -1,8 +1,9 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams are estimated: one from documents labelled as good (the target), one from all
-documents (the raw distribution). A document's log-weight is the log-ratio of its probabilities under them, and documents are
-sampled without replacement in proportion to their weights: the k largest sums of log-weight and Gumbel noise.
+documents (the raw distribution). A document's log-weight is the log-ratio of its probabilities under them, brought to a common length,
+and documents are sampled without replacement in proportion to their weights: the k largest sums of log-weight and Gumbel noise.
+k is a given share of all documents, or else the expected number of good ones, by a logistic function of the log-weight that is fitted to labelled documents.
 """
 
 from __future__ import annotations
@@ -12,14 +13,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tidelog.llm.common import map_arrow, materialise
+from tidelog.llm.common import free_name, map_arrow, materialise, own_columns
 
-#: Length in n-grams for which weights are taken, and n-grams of ratio 0 added to each text.
-LENGTH, PRIOR = 400.0, 10.0
+#: Length in n-grams to which log-weights are brought: the temperature of the sampling (with the whole sum, long texts always win; the longer, the less noise
+#: decides). N-grams of ratio 0 added to each text, so that short texts have weights near 1.
+LENGTH, PRIOR = 50.0, 10.0
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -36,13 +38,13 @@ class Hashes(dict):
 
 
 def ngram_buckets(text: str, hashes: Hashes, buckets: int) -> np.ndarray:
-    """Buckets of a text's tokens and pairs of tokens. All pairs of two equal tokens are one n-gram, whatever the token."""
+    """Buckets of a text's tokens and pairs of tokens."""
     tokens = TOKEN.findall(text)
     if not tokens:
         return np.zeros(0, dtype=np.int64)
     h = np.fromiter(map(hashes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     a, b = h[:-1], h[1:]
-    pairs = np.where(a == b, np.uint64(0x5EED), (a * np.uint64(0x9E3779B1) + b * np.uint64(0x85EBCA77)) >> np.uint64(7))
+    pairs = (a * np.uint64(0x9E3779B1) + b * np.uint64(0x85EBCA77)) >> np.uint64(7)
     return (np.concatenate([h, pairs]) % np.uint64(buckets)).astype(np.int64)
 
 
@@ -83,31 +85,66 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, *, buckets: int = 8192, most_l
     return np.log(p[1]) - np.log(p[0])
 
 
-def score_documents(docs: DataFrame, ratio: np.ndarray, *, seed: int = 17) -> DataFrame:
-    """Adds __n, __log_ratio, __log_weight and __key (log-weight plus Gumbel noise) to all columns of ``docs``, which has doc_id and text.
+def labelled_sample(labels: DataFrame, most_labelled: int) -> DataFrame:
+    """(doc_id, quality) of at most ``most_labelled`` labelled documents, the smallest by hash."""
+    one = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return one.orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").limit(most_labelled)
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
+    """Offset and slope of P(y = 1) as a logistic function of x, by Newton's method with a small penalty."""
+    spread = float(x.std()) or 1.0
+    rows, at = np.stack([np.ones(len(x)), x / spread], axis=1), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(rows @ at, -30, 30)))
+        step = np.linalg.solve(rows.T @ (rows * (p * (1 - p))[:, None]) + ridge * np.eye(2), rows.T @ (y - p) - ridge * at)
+        at = at + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(at[0]), float(at[1] / spread)
+
+
+def expected_good(scored: DataFrame, labels: DataFrame, most_labelled: int) -> Column:
+    """The sum over all documents of the probability that they are good; all of them where no labelled document stands in the table."""
+    known = scored.select("doc_id", "log_weight").join(F.broadcast(labelled_sample(labels, most_labelled)), "doc_id").groupBy("doc_id").agg(F.max("log_weight").alias("x"), F.max("quality").alias("y")).toPandas()  # at most ``most_labelled`` rows
+    if known.empty:
+        return F.count(F.lit(1)).cast("double")
+    offset, slope = fit_logistic(known["x"].to_numpy(dtype=float), known["y"].to_numpy(dtype=float))
+    return F.sum(1 / (1 + F.exp(-(offset + slope * F.col("log_weight")))))
+
+
+def gumbel(seed: Column, *row: Column) -> Column:
+    """Gumbel noise as a function of a seed and a row's content."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(seed, *row), 11).cast("double") + 0.5) / float(1 << 53)
+    return -F.log(-F.log(uniform))
+
+
+def score_documents(docs: DataFrame, ratio: np.ndarray, names: list[str], *, seed: int = 17) -> DataFrame:
+    """Adds to all columns of ``docs`` (doc_id, text and any others), under the given ``names``: number of n-grams, log-ratio, log-weight, and key (log-weight plus Gumbel noise).
 
     The noise is a function of the row's id and text. A null or empty text has the ratio 0.
     """
     buckets = len(ratio)
-    columns = docs.columns
+    columns, own = docs.columns, free_name("own_text", docs)
+    n, total, weight, key = names
 
     def make():
         hashes = Hashes()
 
         def step(batch: pa.RecordBatch):
-            n, total = [], []
-            for text in batch.column("__text").to_pylist():
+            sizes, sums = [], []
+            for text in batch.column(len(columns)).to_pylist():
                 found = ngram_buckets(text or "", hashes, buckets)
-                n.append(len(found))
-                total.append(float(ratio[found].sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), batch.column("__noise"), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=[*columns, "__noise", "__n", "__log_ratio"])
+                sizes.append(len(found))
+                sums.append(float(ratio[found].sum()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=[*columns, n, total])
 
         return step
 
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text").cast("string")), 11).cast("double") + 0.5) / float(1 << 53)
-    schema = StructType([*docs.schema.fields, StructField("__noise", DoubleType()), StructField("__n", LongType()), StructField("__log_ratio", DoubleType())])
-    scored = map_arrow(docs.withColumn("__text", F.col("text").cast("string")).withColumn("__noise", -F.log(-F.log(uniform))), make, schema)
-    return scored.withColumn("__log_weight", LENGTH * F.col("__log_ratio") / (F.col("__n") + PRIOR)).withColumn("__key", F.col("__log_weight") + F.col("__noise")).drop("__noise")
+    schema = StructType([*docs.schema.fields, StructField(n, LongType()), StructField(total, DoubleType())])
+    scored = map_arrow(docs.select(*own_columns(docs), F.col("text").cast("string").alias(own)), make, schema)
+    scored = scored.withColumn(weight, LENGTH * F.col(total) / (F.col(n) + PRIOR))
+    return scored.withColumn(key, F.col(weight) + gumbel(F.lit(seed), F.col("doc_id"), F.col("text").cast("string")))
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1024) -> float:
@@ -131,27 +168,33 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1024) -> float
     return lo
 
 
-def sampling_threshold(scored: DataFrame, margin: float) -> float:
-    """Key of the last sampled document. k is the number of documents whose mean log-ratio is above -``margin``."""
-    k = scored.agg(F.count(F.when(F.col("__log_weight") > -margin * LENGTH, True)).alias("k")).first()["k"]
-    return kth_largest(scored, "__key", k)
+SCORES = ["n_features", "log_ratio", "log_weight", "gumbel_key"]
+
+
+def sampling_threshold(scored: DataFrame, labels: DataFrame, share: float | None, most_labelled: int) -> float:
+    """Key of the last sampled document."""
+    k = expected_good(scored, labels, most_labelled) if share is None else F.lit(share) * F.count(F.lit(1))
+    return kth_largest(scored, "gumbel_key", round(scored.agg(F.coalesce(k, F.lit(0.0)).alias("k")).first()["k"]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, margin: float = 0.15, buckets: int = 8192, most_labelled: int = 20_000, seed: int = 17) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, share: float | None = None, buckets: int = 8192, most_labelled: int = 20_000, seed: int = 17) -> DataFrame:
     """doc_id, n_features, log_ratio, log_weight, gumbel_key, kept: one row for each document row.
 
-    Documents with keys equal to the last sampled one are all kept. Null and empty texts have the weight 1; without good labels every weight is 1. An empty table gives none.
+    ``share`` of the documents are sampled (None: as many as are expected to be good). Rows with keys equal to the last sampled one are all kept, so rows equal in id and text
+    are kept or rejected together. Null and empty texts have the weight 1; without good labels every weight is 1. An empty table gives none.
     """
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     ratio = fit_ratio(narrow, labels, buckets=buckets, most_labelled=most_labelled)
-    scored = materialise(score_documents(narrow, ratio, seed=seed).drop("text"), "quality-scores")
-    threshold = sampling_threshold(scored, margin)
-    return scored.select("doc_id", F.col("__n").alias("n_features"), F.col("__log_ratio").alias("log_ratio"), F.col("__log_weight").alias("log_weight"), F.col("__key").alias("gumbel_key"), (F.col("__key") >= threshold).alias("kept"))
+    scored = materialise(score_documents(narrow, ratio, SCORES, seed=seed).drop("text"), "quality-scores")
+    threshold = sampling_threshold(scored, labels, share, most_labelled)
+    return scored.select("doc_id", *SCORES, (F.col("gumbel_key") >= threshold).alias("kept"))
 
 
-def keep_sampled(docs: DataFrame, labels: DataFrame, *, margin: float = 0.15, buckets: int = 8192, most_labelled: int = 20_000, seed: int = 17) -> DataFrame:
-    """The sampled documents with their own columns. Texts are scored again when the result is read, so that they are neither shuffled nor stored."""
+def keep_sampled(docs: DataFrame, labels: DataFrame, *, share: float | None = None, buckets: int = 8192, most_labelled: int = 20_000, seed: int = 17) -> DataFrame:
+    """The documents that :func:`classify` keeps, with their own columns. Texts are scored again when the result is read, so that they are neither shuffled nor stored."""
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     ratio = fit_ratio(narrow, labels, buckets=buckets, most_labelled=most_labelled)
-    threshold = sampling_threshold(materialise(score_documents(narrow, ratio, seed=seed).select("__log_weight", "__key"), "quality-scores"), margin)
-    return score_documents(docs, ratio, seed=seed).filter(F.col("__key") >= threshold).select(*docs.columns)
+    scored = materialise(score_documents(narrow, ratio, SCORES, seed=seed).select("doc_id", "log_weight", "gumbel_key"), "quality-scores")
+    threshold = sampling_threshold(scored, labels, share, most_labelled)
+    names = [free_name(c, docs) for c in SCORES]
+    return score_documents(docs, ratio, names, seed=seed).filter(F.col(names[3]) >= threshold).select(*own_columns(docs))
