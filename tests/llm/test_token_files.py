@@ -22,7 +22,7 @@ LIBRARY = Tokenizer.from_file(PATH)
 def test_elias_fano(gaps, scale):
     values = np.cumsum(np.array(gaps, dtype=np.int64) * scale)
     coded = EliasFano.from_bytes(EliasFano.of(values).to_bytes())
-    assert coded.values().tolist() == values.tolist()
+    assert list(coded) == values.tolist()
     assert [coded.select(i) for i in range(len(values))] == values.tolist()
 
 
@@ -60,9 +60,9 @@ def test_files(spark, tmp_path):
     for path in paths:
         shard = Shard(path)
         assert shard.width == 2
-        for i, d in enumerate(shard.doc_ids):
-            seen.append((d, shard.ids(i).tolist()))
-        assert [(d, ids.tolist()) for d, _, ids in shard.documents(most=3)] == seen[-len(shard.doc_ids) :]
+        for i in range(len(shard)):
+            seen.append((shard.doc_id(i), shard.ids(i).tolist()))
+        assert [(d, ids.tolist()) for d, _, ids in shard.documents(most=3)] == seen[-len(shard) :]
     assert [d for d, _ in seen] == [None, 2, 3, 5, 7, 9]
     assert all(ids == [*LIBRARY.encode(dict(rows)[d] or "").ids, 2] for d, ids in seen)
     data = bytearray(open(paths[0].removeprefix("file://"), "rb").read())  # noqa: SIM115
@@ -81,3 +81,20 @@ def test_repeats_and_empty(spark):
     got = sorted(map(tuple, token_files.token_file_digest(docs, PATH).collect()), key=lambda r: r[1])
     assert [r[0] for r in got] == [1, 1, 1] and got[0][1] == 0 and sum(r[2] for r in got) == 5
     assert token_files.token_file_digest(docs.limit(0), PATH).count() == 0
+
+
+def test_far_ids_and_other_columns(spark, tmp_path):
+    rows = [(-(1 << 63), "a", 1, 2), ((1 << 63) - 1, "b", 3, 4), (-5, "c", 5, 6), (0, "d", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long, path long").coalesce(1)
+    manifest = token_files.write_token_files(docs, PATH, f"file://{tmp_path}/far")
+    found = [d for r in manifest.orderBy("shard").collect() for d, _, _ in Shard(r["path"]).documents()]
+    assert found == sorted(r[0] for r in rows)
+    assert sorted(r["doc_id"] for r in token_files.digest_token_files(manifest).collect()) == found
+
+
+def test_a_second_attempt_leaves_the_first_file(tmp_path):
+    for attempt in (1, 2):
+        writer = token_files.ShardWriter(f"{tmp_path}/shard-000000-{attempt}.tok", 4)
+        writer.write([7], [struct.pack("<2I", 70_000, 2)])
+        writer.close()
+    assert [Shard(str(p)).ids(0).tolist() for p in sorted(tmp_path.iterdir())] == [[70_000, 2]] * 2

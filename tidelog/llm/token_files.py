@@ -1,8 +1,9 @@
 """Token-id files: concatenated ids with Elias-Fano coded document boundaries.
 
-A shard is: the ids (u16 if the vocabulary allows, else u32, little-endian), then the footer (document ids,
-Elias-Fano boundaries), then its length (u64), the id width (u8) and the magic. The ids are streamed, so
-a writer holds one Arrow batch and a few bytes a document. Shards follow one another in ascending document id.
+A shard is: the ids (u16 if the vocabulary allows, else u32, little-endian), then the footer (document ids and
+boundaries, both Elias-Fano coded), then its checksum (u32) and length (u64), the id width (u8) and the magic. The ids are streamed, so
+a writer holds one Arrow batch and 16 bytes a document. Shards follow one another in ascending document id. A shard's file bears its
+task attempt's number; those that count are listed in the manifest.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,19 +30,17 @@ SAMPLE = 256
 class EliasFano:
     """A non-decreasing sequence in about 2 + log2(universe / n) bits a value, with select.
 
-    The upper bits are a unary bit vector, of which every SAMPLE-th one's place is kept; lower bits are packed.
+    The upper bits are a unary bit vector, of which every SAMPLE-th one's place is stored with it (a quarter of a bit a value); lower bits are packed.
     """
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        bits = np.unpackbits(high, bitorder="little")
-        self.sampled = np.flatnonzero(bits)[::SAMPLE].astype(np.int64)
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, sampled: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.sampled = n, low_bits, low, high, sampled
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, dtype=np.uint64)
         n = len(values)
-        if n and (np.diff(values.astype(np.int64)) < 0).any():
+        if (values[1:] < values[:-1]).any():
             raise ValueError("values must not decrease")
         universe = int(values[-1]) + 1 if n else 1
         low_bits = max(0, (universe // n).bit_length() - 1) if n else 0
@@ -50,26 +50,30 @@ class EliasFano:
         places = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(places[-1]) + 1 if n else 0, dtype=np.uint8)
         high[places] = 1
-        return cls(n, low_bits, np.packbits(low.ravel(), bitorder="little"), np.packbits(high, bitorder="little"))
+        return cls(n, low_bits, np.packbits(low.ravel(), bitorder="little"), np.packbits(high, bitorder="little"), places[::SAMPLE].astype("<i8"))
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.sampled.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
         n, low_bits, a, b = struct.unpack_from("<QBQQ", data)
         at = struct.calcsize("<QBQQ")
-        return cls(n, low_bits, np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a))
+        return cls(n, low_bits, np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a), np.frombuffer(data, "<i8", -(-n // SAMPLE), at + a + b))
+
+    def lower(self, i: int) -> int:
+        """The i-th value's lower bits."""
+        first, last = i * self.low_bits, (i + 1) * self.low_bits
+        word = int.from_bytes(self.low[first >> 3 : (last + 7) >> 3].tobytes(), "little")
+        return word >> (first & 7) & ((1 << self.low_bits) - 1)
 
     def select(self, i: int) -> int:
         """The i-th value: from the nearest kept place, scan bytes of the upper bits by their counts of ones."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         place = int(self.sampled[i // SAMPLE])
-        left = i % SAMPLE
-        byte = place // 8
+        byte, left = place // 8, i % SAMPLE + 1
         word = int(self.high[byte]) >> (place % 8) << (place % 8)
-        left += 1
         while (ones := word.bit_count()) < left:
             left -= ones
             byte += 1
@@ -77,18 +81,21 @@ class EliasFano:
         for _ in range(left - 1):
             word &= word - 1
         place = byte * 8 + (word & -word).bit_length() - 1
-        low = 0
-        for b in range(self.low_bits):
-            k = i * self.low_bits + b
-            low |= (int(self.low[k >> 3]) >> (k & 7) & 1) << b
-        return (place - i) << self.low_bits | low
+        return (place - i) << self.low_bits | self.lower(i)
+
+    def from_sample(self, k: int) -> list[int]:
+        """The values from the k-th kept place up to the next: at most SAMPLE of them, found in one scan."""
+        first, last = k * SAMPLE, min((k + 1) * SAMPLE, self.n)
+        begin = int(self.sampled[k])
+        end = int(self.sampled[k + 1]) if last < self.n else len(self.high) * 8
+        bits = np.unpackbits(self.high[begin >> 3 : (end + 7) >> 3], bitorder="little")
+        places = np.flatnonzero(bits[begin & 7 :])[: last - first] + begin
+        return [(int(p) - i) << self.low_bits | self.lower(i) for i, p in enumerate(places, first)]
 
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.int64)
-        low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        weights = np.left_shift(1, np.arange(self.low_bits, dtype=np.int64))
-        return ((places - np.arange(self.n)) << self.low_bits) + (low @ weights if self.low_bits else 0)
+    def __iter__(self) -> Iterator[int]:
+        """All values in order, SAMPLE of them held at a time."""
+        for k in range(len(self.sampled)):
+            yield from self.from_sample(k)
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
@@ -97,14 +104,15 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class ShardWriter:
-    """Streams documents' ids to a shard; the file appears under its name only when it is whole."""
+    """Streams documents' ids, ordered by document id with nulls first, to a shard; the file appears under its name only when it is whole."""
 
-    def __init__(self, path: str, width: int, attempt: str):
+    def __init__(self, path: str, width: int):
         self.store, self.path = open_store(path)
         self.store.create_dir(os.path.dirname(self.path), recursive=True)
-        self.temporary = f"{self.path}.{attempt}.tmp"
+        self.temporary = f"{self.path}.tmp"
         self.out = self.store.open_output_stream(self.temporary)
-        self.width, self.doc_ids, self.nulls, self.ends, self.n = width, [], 0, [], 0
+        self.width, self.nulls, self.n = width, 0, 0
+        self.doc_ids, self.ends = array("q"), array("q")
 
     def write(self, doc_ids: Iterable[int | None], packed: list[bytes]) -> None:
         flat = np.frombuffer(b"".join(packed), dtype="<u4")
@@ -118,12 +126,12 @@ class ShardWriter:
                 self.doc_ids.append(d)
 
     def close(self) -> tuple[int, int]:
-        ends = EliasFano.of(np.array(self.ends, dtype=np.int64)).to_bytes()
-        footer = struct.pack("<QQQ", self.nulls, len(self.doc_ids), self.n) + np.array(self.doc_ids, dtype="<i8").tobytes() + ends
+        base = self.doc_ids[0] if self.doc_ids else 0
+        above = np.array(self.doc_ids, dtype=np.int64).view(np.uint64) - np.array(base, dtype=np.int64).view(np.uint64)  # modulo 2**64, as from the smallest to the largest BIGINT
+        ids, ends = EliasFano.of(above).to_bytes(), EliasFano.of(np.array(self.ends, dtype=np.int64)).to_bytes()
+        footer = struct.pack("<QQqQ", self.nulls, self.n, base, len(ids)) + ids + ends
         self.out.write(footer + struct.pack("<IQB", zlib.crc32(footer), len(footer), self.width) + MAGIC)
         self.out.close()
-        if self.store.get_file_info(self.path).type != fs.FileType.NotFound:
-            self.store.delete_file(self.path)  # of an earlier attempt, with the same content
         self.store.move(self.temporary, self.path)
         return len(self.ends), self.n
 
@@ -143,9 +151,16 @@ class Shard:
         footer = self.file.read_at(length, size - tail - length)
         if zlib.crc32(footer) != crc:
             raise ValueError(f"{path}: the footer's checksum does not match")
-        self.nulls, n, self.n_ids = struct.unpack_from("<QQQ", footer)
-        self.doc_ids = [None] * self.nulls + np.frombuffer(footer, "<i8", n, 24).tolist()
-        self.ends = EliasFano.from_bytes(footer[24 + 8 * n :])
+        self.nulls, self.n_ids, self.base, n = struct.unpack_from("<QQqQ", footer)
+        at = struct.calcsize("<QQqQ")
+        self.known, self.ends = EliasFano.from_bytes(footer[at : at + n]), EliasFano.from_bytes(footer[at + n :])
+
+    def __len__(self) -> int:
+        return self.ends.n
+
+    def doc_id(self, i: int) -> int | None:
+        """The i-th document's id; those without one come first."""
+        return None if i < self.nulls else self.base + self.known.select(i - self.nulls)
 
     def span(self, i: int) -> tuple[int, int]:
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
@@ -159,16 +174,13 @@ class Shard:
         return self.read(*self.span(i))
 
     def documents(self, most: int = 4_000_000) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, start in the shard, ids) of every document, reading about ``most`` ids at a time."""
-        ends = self.ends.values()
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        i = 0
-        while i < len(ends):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + most, "right")))
-            block = self.read(int(starts[i]), int(ends[j - 1]))
-            for k in range(i, j):
-                yield self.doc_ids[k], int(starts[k]), block[starts[k] - starts[i] : ends[k] - starts[i]]
-            i = j
+        """(doc_id, start in the shard, ids) of every document in order, reading about ``most`` ids at a time. Boundaries are decoded as they are met."""
+        known, block, begin, start = iter(self.known), np.zeros(0, dtype="<u4"), 0, 0
+        for i, end in enumerate(self.ends):
+            if end > begin + len(block):
+                begin, block = start, self.read(start, max(end, min(start + most, self.n_ids)))
+            yield None if i < self.nulls else self.base + next(known), start, block[start - begin : end - begin]
+            start = end
 
 
 _ENCODERS: dict[int, ChunkCache] = {}
@@ -193,7 +205,7 @@ def library_packer(content: bytes) -> ChunkCache:
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int | None = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode every whole text and write the ids to shards under ``folder`` in ascending document id.
+    """Encode every whole text and write the ids to shards under ``folder`` in ascending document id. Other columns are not read.
 
     Null ids come first, rows of one id in the order of their texts' hash; a null text is empty. ``end_id``, if
     given, is appended to each document. Returns the manifest: shard, path, n_docs, n_ids, start (ids in all shards before). It is
@@ -212,12 +224,12 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, *, end_id:
         from pyspark import TaskContext
 
         cache, writer, shard = library_packer(held.value), None, TaskContext.get().partitionId()
-        path = f"{folder}/shard-{shard:06d}.tok"
+        path = f"{folder}/shard-{shard:06d}-{TaskContext.get().taskAttemptId()}.tok"  # a twin of this task writes another file
         for batch in batches:
             texts, ids = batch.column("text"), batch.column("doc_id")
             for at in range(0, batch.num_rows, 256):
                 if writer is None:
-                    writer = ShardWriter(path, width, str(TaskContext.get().taskAttemptId()))
+                    writer = ShardWriter(path, width)
                 writer.write(ids.slice(at, 256).to_pylist(), [cache.packed(t) + end for t in texts.slice(at, 256).to_pylist()])
         if writer is not None:
             n_docs, n_ids = writer.close()
