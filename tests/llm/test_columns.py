@@ -1,0 +1,71 @@
+"""Tables with columns that clash with names that operators use, with dots and backticks, repeated rows and odd texts."""
+
+from __future__ import annotations
+
+import public_tokenizers
+import pytest
+
+from tidelog.llm import bpe, decontaminate, line_dedup, minhash, quality_classifier, quality_rules, token_counts, toxicity
+
+NAMES = ["__key", "__text", "__n", "__noise", "__spans", "__dropped", "__word", "key", "k0", "k1", "r0", "node", "spans", "contaminated", "pieces", "dropped", "own_text", "gumbel_key", "log_ratio", "component", "a.b", "tick`ed", "Text_"]
+LINE = "a line of several words that stands in more than one of these documents"
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    texts = [f"{LINE}\nfirst own line of words here", f"{LINE}\nother text of another kind altogether", f"{LINE}\nother text of another kind altogether", None, "", "x " * 30_000, "w" * 100_000]
+    rows = [(min(i, 2), t, "src", *(f"{n}{i if i < 2 else 2}" for n in NAMES)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join("`" + n.replace("`", "``") + "` string" for n in NAMES))
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(0, 1, 0, "x"), (1, 0, 1, "y"), (None, 1, 1, "z"), (0, None, None, "w")], "doc_id long, quality int, toxic int, `a.b` string")
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    return spark.createDataFrame([(1, "several words that stands in more than one", "x"), (None, None, "y"), (2, "", "z")], "item_id long, text string, `a.b` string")
+
+
+def extra(rows, docs):
+    """The columns besides text of each row, by name."""
+    names = [c for c in docs.columns if c != "text"]
+    return sorted((tuple(r[n] for n in names) for r in rows), key=str)
+
+
+ALL = {
+    "decontamination": lambda d, l, b: decontaminate.remove_contamination(d, b),
+    "spans": lambda d, l, b: decontaminate.remove_contamination(d, b, mode="spans"),
+    "documents": lambda d, l, b: decontaminate.remove_contamination(d, b, mode="documents"),
+    "classifier": lambda d, l, b: quality_classifier.keep_sampled(d, l, share=1.0),
+    "lines": lambda d, l, b: line_dedup.dedup_lines(d),
+    "bpe": lambda d, l, b: bpe.encode_documents(d, BPE),
+    "token_counts": lambda d, l, b: token_counts.count_tokens(d, public_tokenizers.path("piece_bpe_32k.model"), keep=d.columns),
+}
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_all_columns_stay(name, docs, labels, benchmark):
+    got = ALL[name](docs, labels, benchmark)
+    assert got.columns[: len(docs.columns)] == docs.columns
+    assert extra(got.collect(), docs) == extra(docs.collect(), docs)
+    assert ALL[name](docs.limit(0), labels, benchmark).count() == 0
+
+
+def test_near_duplicates(docs):
+    got = minhash.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert set(extra(got.collect(), docs)) <= set(extra(docs.collect(), docs)) and got.count() == 6
+
+
+def test_digests(docs, labels, benchmark):
+    """Operators that return columns of their own: a row for each document row, whatever the table's other columns."""
+    assert decontaminate.digest(docs, benchmark).count() == 7
+    assert quality_classifier.classify(docs, labels).count() == 7
+    rules = {(r["n_words"], r["n_repeat_words"], r["kept"]) for r in quality_rules.apply_rules(docs).collect()}
+    assert (30_000, 30_000, False) in rules and (1, 0, False) in rules and (0, 0, False) in rules
+    assert quality_rules.apply_rules(docs).count() == 7 and quality_rules.apply_rules(docs.limit(0)).count() == 0
+    assert toxicity.score_toxicity(docs, labels).count() == 7
+    assert minhash.near_duplicates(docs).count() == 7

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WHITE_SPACE, broadcast_file, map_arrow
+from tidelog.llm.common import WHITE_SPACE, broadcast_file, free_name, map_arrow, numbered, quoted
 
 #: The vocabulary's splitting rule (fixed value, published with the vocabulary).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -250,7 +250,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text", ke
     empty text has no ids and decodes to the empty text. A column named ``ids`` or ``decoded`` is replaced. No shuffle:
     each Arrow batch is encoded where it is read, whatever the texts' lengths.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("ids", "decoded")]
     held = broadcast_file(docs.sparkSession, vocabulary)
     fields = [docs.schema[c] for c in keep]
 
@@ -260,7 +260,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text", ke
         bpe, cache = worker_packer(held.value)
 
         def step(batch: pa.RecordBatch):
-            texts = ["" if t is None else t for t in batch.column("__text").to_pylist()]
+            texts = ["" if t is None else t for t in batch.column(len(keep)).to_pylist()]
             start = 0
             for run in slices(texts):
                 packed = [cache.packed(t) for t in run]
@@ -271,15 +271,15 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text", ke
                 decoded = pa.array([t.decode() for t in bpe.decode_all(packed)], pa.string())
                 part = batch.slice(start, len(run))
                 start += len(run)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, decoded], names=[*keep, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), ids, decoded], names=[*keep, "ids", "decoded"])
 
         return step
 
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
     schema = StructType([*fields, StructField("ids", ArrayType(IntegerType(), True)), StructField("decoded", StringType())])
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("__text"))
-    return map_arrow(source, make, schema)
+    source = docs.select(*(F.col(quoted(c)) for c in keep), F.col(quoted(text)).cast("string").alias("own_text"))
+    return map_arrow(numbered(source), make, schema)
 
 
 def encoding_digest(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,11 @@ def broadcast_file(spark: SparkSession, path: str) -> object:
         return spark.sparkContext.broadcast(f.read())
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns named by their places, as ``mapInArrow`` can't take every name; its schema gives them their names back."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def map_arrow(df: DataFrame, make: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` over ``df``; ``make`` is called once a task and returns a function of one record batch."""
 
@@ -41,3 +47,26 @@ def map_arrow(df: DataFrame, make: Callable, schema: str) -> DataFrame:
                 yield from step(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float, float]:
+    """Slope and intercept by Newton steps, halved until the loss falls; the slope's penalty keeps it finite where the labels part cleanly."""
+    design, n = np.column_stack([x, np.ones_like(x)]), len(y)
+    penalty = np.array([ridge * n, 1e-9])
+
+    def loss(c: np.ndarray) -> float:
+        z = design @ c
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + (penalty * c * c).sum() / 2)
+
+    c = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ c, -500, 500)))
+        gradient = design.T @ (p - y) + penalty * c
+        move = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty + 1e-9), gradient)
+        size, before = 1.0, loss(c)
+        while size > 1e-6 and loss(c - size * move) > before:
+            size /= 2
+        c = c - size * move
+        if abs(size * move).max() < 1e-8:
+            break
+    return float(c[0]), float(c[1])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tidelog.llm.common import free_name, map_arrow, materialise, own_columns
+from tidelog.llm.common import fit_logistic, free_name, map_arrow, numbered, materialise, own_columns
 
 #: Length in n-grams to which log-weights are brought: the temperature of the sampling (with the whole sum, long texts always win; the longer, the less noise
 #: decides). N-grams of ratio 0 added to each text, so that short texts have weights near 1.
@@ -91,25 +91,12 @@ def labelled_sample(labels: DataFrame, most_labelled: int) -> DataFrame:
     return one.orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").limit(most_labelled)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
-    """Offset and slope of P(y = 1) as a logistic function of x, by Newton's method with a small penalty."""
-    spread = float(x.std()) or 1.0
-    rows, at = np.stack([np.ones(len(x)), x / spread], axis=1), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(rows @ at, -30, 30)))
-        step = np.linalg.solve(rows.T @ (rows * (p * (1 - p))[:, None]) + ridge * np.eye(2), rows.T @ (y - p) - ridge * at)
-        at = at + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(at[0]), float(at[1] / spread)
-
-
 def expected_good(scored: DataFrame, labels: DataFrame, most_labelled: int) -> Column:
     """The sum over all documents of the probability that they are good; all of them where no labelled document stands in the table."""
     known = scored.select("doc_id", "log_weight").join(F.broadcast(labelled_sample(labels, most_labelled)), "doc_id").groupBy("doc_id").agg(F.max("log_weight").alias("x"), F.max("quality").alias("y")).toPandas()  # at most ``most_labelled`` rows
     if known.empty:
         return F.count(F.lit(1)).cast("double")
-    offset, slope = fit_logistic(known["x"].to_numpy(dtype=float), known["y"].to_numpy(dtype=float))
+    slope, offset = fit_logistic(known["x"].to_numpy(dtype=float), known["y"].to_numpy(dtype=float))
     return F.sum(1 / (1 + F.exp(-(offset + slope * F.col("log_weight")))))
 
 
@@ -125,7 +112,7 @@ def score_documents(docs: DataFrame, ratio: np.ndarray, names: list[str], *, see
     The noise is a function of the row's id and text. A null or empty text has the ratio 0.
     """
     buckets = len(ratio)
-    columns, own = docs.columns, free_name("own_text", docs)
+    columns = docs.columns
     n, total, weight, key = names
 
     def make():
@@ -142,7 +129,7 @@ def score_documents(docs: DataFrame, ratio: np.ndarray, names: list[str], *, see
         return step
 
     schema = StructType([*docs.schema.fields, StructField(n, LongType()), StructField(total, DoubleType())])
-    scored = map_arrow(docs.select(*own_columns(docs), F.col("text").cast("string").alias(own)), make, schema)
+    scored = map_arrow(numbered(docs.select(*own_columns(docs), F.col("text").cast("string").alias("own_text"))), make, schema)
     scored = scored.withColumn(weight, LENGTH * F.col(total) / (F.col(n) + PRIOR))
     return scored.withColumn(key, F.col(weight) + gumbel(F.lit(seed), F.col("doc_id"), F.col("text").cast("string")))
 

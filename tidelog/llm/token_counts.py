@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import broadcast_file, map_arrow
+from tidelog.llm.common import broadcast_file, free_name, map_arrow, numbered, quoted
 
 MARK = "▁"
 #: How much worse than the worst piece a character outside the vocabulary is (fixed value of unigram models).
@@ -132,26 +132,27 @@ def worker_terminals(content: bytes) -> Terminals:
     return _TERMINALS[key]
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, *, text: str = "text") -> DataFrame:
-    """Adds n_pretokens (long), n_tokens (long) and log_score (double) to the documents; a null or empty text has zeros.
+def count_tokens(docs: DataFrame, vocabulary: str, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Adds n_pretokens (long), n_tokens (long) and log_score (double) to the columns ``keep`` (all but the text, if None); a null or empty text has zeros.
 
-    Pre-tokens are what ``str.split`` gives. Columns of these names are replaced. No shuffle; a worker keeps one bounded trie.
+    Pre-tokens are what ``str.split`` gives. Columns of the three names are replaced. An empty table gives none. No shuffle; a worker keeps one bounded
+    trie, which starts anew when it is full: results are the same, as scores and counts are functions of a pre-token alone.
     """
     made = ["n_pretokens", "n_tokens", "log_score"]
-    keep = [c for c in docs.columns if c not in (*made, text)]
+    keep = [c for c in ([c for c in docs.columns if c != text] if keep is None else keep) if c.lower() not in made]
     held = broadcast_file(docs.sparkSession, vocabulary)
 
     def make():
         terminals = worker_terminals(held.value)
 
         def step(batch: pa.RecordBatch):
-            rows = [terminals.of(t or "") for t in batch.column("__text").to_pylist()]
+            rows = [terminals.of(t or "") for t in batch.column(len(keep)).to_pylist()]
             made_columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(np.array([r[2] for r in rows], dtype=np.float64))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made_columns], names=[*keep, *made])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *made_columns], names=[*keep, *made])
 
         return step
 
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
     schema = StructType([*(docs.schema[c] for c in keep), StructField("n_pretokens", LongType()), StructField("n_tokens", LongType()), StructField("log_score", DoubleType())])
-    return map_arrow(docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("__text")), make, schema)
+    return map_arrow(numbered(docs.select(*(F.col(quoted(c)) for c in keep), F.col(quoted(text)).cast("string").alias("own_text"))), make, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import crc32_mod, map_arrow, materialise
+from tidelog.llm.common import crc32_mod, fit_logistic, map_arrow, materialise
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 NEGATED, REPORTED, AIMED = 8, 16, 32  # marks added to INSULT and THREAT
@@ -216,29 +216,6 @@ def grammar_scores(docs: DataFrame, insults: dict[str, float], stems: dict[str,
     return map_arrow(docs.select("doc_id", *more, F.col("text").cast("string").alias("text")), make, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", total double")
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float, float]:
-    """Slope and intercept by Newton steps, halved until the loss falls; the slope's penalty keeps it finite where the labels part cleanly."""
-    design, n = np.column_stack([x, np.ones_like(x)]), len(y)
-    penalty = np.array([ridge * n, 1e-9])
-
-    def loss(c: np.ndarray) -> float:
-        z = design @ c
-        return float(np.logaddexp(0, z).sum() - (y * z).sum() + (penalty * c * c).sum() / 2)
-
-    c = np.zeros(2)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(design @ c, -500, 500)))
-        gradient = design.T @ (p - y) + penalty * c
-        move = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty + 1e-9), gradient)
-        size, before = 1.0, loss(c)
-        while size > 1e-6 and loss(c - size * move) > before:
-            size /= 2
-        c = c - size * move
-        if abs(size * move).max() < 1e-8:
-            break
-    return float(c[0]), float(c[1])
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 20_000, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, total (the grammar's), score (0 to 1), predicted: one row for each document row.
 
