@@ -12,7 +12,7 @@ from tidelog.llm.common import Scratch, materialise
 #: Least and most bits of the filter in :func:`possible` (at most 8 MB to broadcast), and bits for each wanted key between them.
 FILTER_BITS, MOST_FILTER_BITS, BITS_A_KEY = 1 << 20, 1 << 26, 16
 #: One in so many buckets takes part in the first comparison. Further rounds of comparing with leaders, at most, and how many pairs a member may stand in before one is tried.
-FIRST, ROUNDS, PAIRS_A_MEMBER = 4, 2, 16
+FIRST, ROUNDS, PAIRS_A_MEMBER = 8, 2, 16
 
 
 def connected_components(edges: DataFrame, work: Scratch) -> DataFrame:
@@ -118,11 +118,20 @@ def _linked_groups(nodes: DataFrame, may_link: Callable, verify: Callable, sharp
     condition = (x["bucket"] == y["bucket"]) & (F.col("x_component") != F.col("y_component")) & once & may_link(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
     # a pair that shares several buckets is made in the first of them alone
     condition = condition & (F.get(F.array_intersect("x_keys", "y_keys"), F.lit(0)) == x["bucket"])
-    more = x.filter("x_outside").join(y, condition).select(*_ordered("x_node", "y_node"))
-    more = work.table(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = x.filter("x_outside").join(y, condition).select("x_node", *_ordered("x_node", "y_node"))
+    more = work.table(more.join(tried, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return components
-    found = links_among(more)
-    if found.isEmpty():
-        return components
-    return connected_components(links.union(found), work)
+    # two partners of each outside member first: where they link it, its other pairs need no look
+    partner = F.when(F.col("a") == F.col("x_node"), F.col("b")).otherwise(F.col("a"))
+    some = more.groupBy("x_node").agg(F.min(partner).alias("l0"), F.max(partner).alias("l1")).select("x_node", F.explode(F.array("l0", "l1")).alias("lead"))
+    some = work.table(some.select(*_ordered("x_node", "lead")).distinct(), "candidates")
+    links = links.union(links_among(some))
+    components = connected_components(links, work)
+    left = more.select("a", "b").distinct().join(some, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        left = left.join(components.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component")), side, "left")
+    apart = ~F.coalesce("a_component", "a").eqNullSafe(F.coalesce("b_component", "b"))
+    left = work.table(left.filter(apart).select("a", "b"), "candidates")
+    found = links_among(left)
+    return components if found.isEmpty() else connected_components(links.union(found), work)
