@@ -5,10 +5,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidelog import codec
+from tidelog import codec, config
 from tidelog import functions as fn
 from tidelog import operators as op
-from tidelog.codec import Entry
+from tidelog.codec import BlockHandle, Entry
 from tidelog.schema import ENTRY_SCHEMA, LOG_SCHEMA
 
 
@@ -34,34 +34,79 @@ def test_sizes(spark):
 
 
 def test_size_trajectory(spark):
-    rows = log(spark, (1, 0, "key1", "value1"), (2, 0, "key1", "longer_value"), (3, 0, "key1", "abc"), (4, 1, "key1"))
-    got = op.size_trajectory(rows).orderBy("seq").select("memtable_bytes").collect()
-    assert [r[0] for r in got] == [26, 32, 23, 20]
-    assert op.memtable_size(rows).first()[0] == 20
-    assert tuple(op.flush_points(rows, 30).first()) == (2, 32)
-    assert op.flush_points(rows, 33).count() == 0
+    rows = log(spark, (4, 0, "lamp", "on"), (9, 0, "lamp", "dimmed to a third"), (11, 2, "fan", "slow", 60), (70_000, 0, "lamp", ""), (70_001, 1, "fan"))
+    want = [4 + 2 + 16, 4 + 17 + 16, 37 + 3 + 8 + 4 + 16, 68 - 17, 51 - 12]
+    for chunk in (1, 5, 1 << 16):  # the write before may stand in another chunk
+        got = op.size_trajectory(rows, chunk=chunk).orderBy("seq").collect()
+        assert [r["memtable_bytes"] for r in got] == want and set(got[0].asDict()) == {*rows.columns, "memtable_bytes"}
+    assert op.memtable_size(rows).first()[0] == want[-1]
+    assert tuple(op.flush_points(rows, 38).first()) == (11, 68)
+    assert op.flush_points(rows, 69).count() == 0
+
+
+def test_flush_point_of_the_configuration(spark, monkeypatch):
+    monkeypatch.setattr(config, "_config", config.Config(config.Storage(memtable_size_mb=1)))
+    rows = log(spark, (1, 0, "big", "x" * 600_000), (2, 0, "bigger", "y" * 600_000))
+    assert op.flush_points(rows).first()["seq"] == 2
 
 
 def test_bulk_accounting(spark):
-    rows = [(i, 0, f"key{i:03d}", f"value{i}") for i in range(100)] + [(100 + i, 0, f"key{i:03d}", "updated") for i in range(50)] + [(200 + i, 1, f"key{50 + i:03d}") for i in range(25)]
+    rows = [(3 * i, i % 3, f"sensor/{i % 37}", None if i % 3 == 1 else "r" * (i % 11), 5 if i % 3 == 2 else None) for i in range(260)]
     size, held = 0, {}
-    for seq, tag, key, *value in rows:
-        n = len(value[0]) if value else 0
+    for _, tag, key, value, _ in rows:
+        n = len(value or "") + (8 if tag == 2 else 0)
         size += n - held[key] if key in held else len(key) + n + 16
         held[key] = n
     whole = log(spark, *rows)
     assert op.memtable_size(whole).first()[0] == size
-    assert op.size_trajectory(whole).agg(F.max_by("memtable_bytes", "seq")).first()[0] == size
+    assert op.size_trajectory(whole, chunk=50).agg(F.max_by("memtable_bytes", "seq")).first()[0] == size
 
 
 def test_mixed_operations(spark):
-    rows = log(spark, (1, 0, "user:1", "Alice"), (2, 0, "user:2", "Bob"), (3, 0, "user:3", "Charlie"), (4, 1, "user:2"), (5, 0, "user:1", "Alice Updated"), (6, 0, "user:4", "Diana"))
-    assert pairs(op.snapshot(rows)) == [("user:1", 5), ("user:2", 4), ("user:3", 3), ("user:4", 6)]
-    assert pairs(op.get(rows, b"user:2")) == [("user:2", 4)] and op.get(rows, b"none").count() == 0
-    assert pairs(op.range_scan(rows, b"user:2", b"user:4")) == [("user:2", 4), ("user:3", 3)]
-    assert sorted(pairs(op.compact(rows, bottom=True))) == [("user:1", 5), ("user:3", 3), ("user:4", 6)]
-    assert op.compact(rows, bottom=False).count() == 4
-    assert sorted(pairs(op.as_of_seq(rows, 3))) == [("user:1", 1), ("user:2", 2), ("user:3", 3)]
+    rows = log(spark, (7, 0, "oslo", "rain"), (8, 0, "lima", "fog"), (12, 0, "cairo", "sun"), (15, 1, "lima"), (16, 0, "oslo", "snow"), (30, 0, "quito", "wind"), (31, 1, "nowhere"))
+    assert pairs(op.snapshot(rows)) == [("cairo", 12), ("lima", 15), ("nowhere", 31), ("oslo", 16), ("quito", 30)]
+    assert pairs(op.get(rows, b"lima")) == [("lima", 15)] and op.get(rows, b"rome").count() == 0
+    assert pairs(op.range_scan(rows, b"lima", b"oslo")) == [("lima", 15), ("nowhere", 31)]
+    assert sorted(pairs(op.compact(rows, bottom=True))) == [("cairo", 12), ("oslo", 16), ("quito", 30)]
+    assert op.compact(rows, bottom=False).count() == 5
+    assert sorted(pairs(op.as_of_seq(rows, 12))) == [("cairo", 12), ("lima", 8), ("oslo", 7)]
+
+
+def test_clashing_columns(spark):
+    names = ["n", "at", "part", "before", "chunk", "size", "change", "own", "__n", "a.b"]
+    rows = log(spark, (1, 0, "k", "a"), (2, 0, "k", "bc"), (3, 1, "j")).withColumns({c: F.lit(c) for c in names})
+    for got in (op.latest(rows), op.dedup_entries(rows), op.merge_tiers([rows]), op.entry_order(rows), op.size_trajectory(rows)):
+        assert got.columns[: len(rows.columns)] == rows.columns
+        assert all(r[c] == c for r in got.collect() for c in names)
+
+
+def test_tiers_in_one_shuffle(spark):
+    tiers = [log(spark, (50 - i, 0, "k", f"v{i}"), (3, 0, f"only{i}", "x")) for i in range(3)]
+    merged = op.merge_tiers(tiers)
+    assert sorted((bytes(r["key"]).decode(), r["seq"], r["tier"]) for r in merged.collect()) == [("k", 50, 0), ("only0", 3, 0), ("only1", 3, 1), ("only2", 3, 2)]
+    assert op.merge_tiers(tiers)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_recovery_is_logged(spark, caplog):
+    with caplog.at_level("INFO", logger="tidelog.operators"):
+        assert op.log_recovery(log(spark, (5, 0, "a", "b"), (9, 1, "a")), 6) == (1, 9)
+    assert "recovered 1 entries up to sequence 9 in" in caplog.text
+
+
+def test_bloom_filter_prunes(spark, tmp_path):
+    """A key that isn't there, between keys that are: with the filter no row group is read, without it one is."""
+    rows = log(spark, *((i, 0, f"key{i:05d}", "v") for i in range(0, 2000, 2)))
+
+    def read(bloom):
+        path = str(tmp_path / f"table-{bloom}")
+        op.flush(rows, path, bloom=bloom)
+        found = spark.read.parquet(path).filter(F.col("key") == F.lit(b"key00777"))
+        assert found.collect() == []
+        plan = found._jdf.queryExecution().executedPlan()
+        scan = plan.collectLeaves().apply(0)
+        return scan.metrics().apply("numOutputRows").value()
+
+    assert read(True) == 0 and read(False) > 0
 
 
 def test_arrival_order(spark):
@@ -113,6 +158,23 @@ def test_encoders_agree_with_the_codec(spark):
         assert bytes(r["v"]) == codec.encode_varint(r["n"]) and r["s"] == len(bytes(r["v"])) and bytes(r["h"]) == bytes(r["v"]) * 2
 
 
+def test_decoders_agree_with_the_codec(spark):
+    data = [b"", b"\x80", b"\x80" * 10, b"\x80" * 11, b"\x80\x00", b"\xff" * 9 + b"\x7f", b"\xff" * 9 + b"\x01tail", b"\x07\x80", b"\x07\x81\x01..", codec.encode_varint(1 << 63) * 2]
+
+    def want(decode, x):
+        try:
+            return decode(x)
+        except codec.TableDecodeError as e:
+            return next(w for w in ("empty", "incomplete", "more than") if w in str(e)).replace("more than", "too long")
+
+    df = spark.createDataFrame([(x,) for x in data], "x binary")
+    x = F.col("x")
+    for r in df.select("x", fn.varint_error(x).alias("e"), fn.decode_varint(x).alias("n"), fn.varint_length(x).alias("l"), fn.decode_handle(x).alias("h")).collect():
+        one, two = want(codec.decode_varint, bytes(r["x"])), want(BlockHandle.decode, bytes(r["x"]))
+        assert (r["e"] == one and r["n"] is None and r["l"] is None) if isinstance(one, str) else (r["e"] is None and (int(r["n"]), r["l"]) == one)
+        assert r["h"] is None if isinstance(two, str) else (int(r["h"]["offset"]), int(r["h"]["size"]), r["h"]["length"]) == (two[0].offset, two[0].size, two[1])
+
+
 def test_preview(spark):
     df = spark.createDataFrame([(b"ok",), (b"\xff" * 70,)], "value binary").select(fn.preview("value"))
     assert [r[0] for r in df.collect()] == ["ok", "�" * 64 + "... (70 bytes)"]

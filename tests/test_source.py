@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog import operators as op
-from tidelog import sources
+from tidelog import config, sources
 from tidelog.codec import Entry, encode_record
-from tidelog.errors import LogReadError
+from tidelog.errors import LogReadError, TruncatedRecord
 from tidelog.schema import ENTRY_SCHEMA
 from tidelog.streaming import latest_view, log_stream
 
@@ -110,3 +110,37 @@ def test_stream(spark, tmp_path):
         query.stop()
     got = {bytes(r["key"]): (r["seq"], r["tag"]) for r in spark.table("view").collect()}
     assert got == {bytes(r["key"]): (r["seq"], r["tag"]) for r in op.latest(read(spark, tmp_path)).collect()}
+
+
+def test_stream_options(spark, tmp_path, caplog):
+    three_files(tmp_path)
+    stream = sources.LogStream({"path": str(tmp_path), "min_seq": "40", "strict": "true"})
+    parts = stream.partitions({"file_id": -1}, stream.latestOffset())
+    assert [r for p in parts for b in stream.read(p) for r in b.column("seq").to_pylist()] == [40, 50]
+    put(tmp_path, 0, Entry(b"late", 60, 0, b"v"))
+    put(tmp_path, 4, Entry(b"a", 70, 0, b"v"), Entry(b"b", 80, 0, b"v"), cut=1)
+    with caplog.at_level("WARNING", logger="tidelog.sources"):
+        parts = stream.partitions({"file_id": 3}, stream.latestOffset())
+    assert "log files [0]" in caplog.text and [p.file_id for p in parts] == [4]
+    with pytest.raises(TruncatedRecord):
+        list(stream.read(parts[0]))
+
+
+def test_encoded_records_are_written_as_they_are(spark, tmp_path):
+    rows = [(b"k" * i, i, i % 3, None if i % 3 == 1 else b"v" * i, i if i % 3 == 2 else None) for i in range(20)]
+    sources.write_log(spark.createDataFrame(rows, ENTRY_SCHEMA), str(tmp_path / "log"))
+    got = read(spark, tmp_path / "log").orderBy("seq").collect()
+    assert [(bytes(r["key"]), r["seq"], r["tag"], None if r["value"] is None else bytes(r["value"]), r["expire_at"]) for r in got] == rows
+
+
+def test_folder_of_the_configuration(spark, tmp_path, monkeypatch):
+    three_files(tmp_path)
+    monkeypatch.setattr(config, "_config", config.Config(config.Storage(str(tmp_path))))
+    assert sources.LogSource({}).options["path"] == str(tmp_path) and sources.LogSource({"path": "/x"}).options["path"] == "/x"
+
+
+def test_decode_records(spark):
+    good = encode_record(Entry(b"k", 1, 2, b"v", 9))
+    rows = spark.createDataFrame([(1, good), (2, good[:-1]), (3, b""), (4, None), (5, good + b"tail")], "n long, record binary")
+    got = {r["n"]: (r["error"], r["seq"], r["expire_at"]) for r in sources.decode_records(rows).collect()}
+    assert got == {1: (None, 1, 9), 2: ("TruncatedRecord", None, None), 3: (None, None, None), 4: (None, None, None), 5: (None, 1, 9)}

@@ -56,10 +56,10 @@ class Config:
 
 
 def find_file(environ: Mapping[str, str], folder: Path) -> Path | None:
-    """The file that the variable names, which must exist; else config.toml in ``folder``, if there."""
-    if named := environ.get(f"{PREFIX}_CONFIG"):
-        if not Path(named).is_file():
-            raise ConfigError(f"no configuration file {named}")
+    """The path that the variable names, which must exist, however the variable is set; else config.toml in ``folder``, if there."""
+    if (named := environ.get(f"{PREFIX}_CONFIG")) is not None:
+        if not named or not Path(named).exists():
+            raise ConfigError(f"no configuration file {named!r}")
         return Path(named)
     return path if (path := folder / "config.toml").is_file() else None
 

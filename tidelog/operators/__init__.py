@@ -6,13 +6,16 @@ versions of one key with the same sequence number.
 
 from __future__ import annotations
 
+import logging
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog import config
 from tidelog import functions as fn
-from tidelog.plans import running_total, with_position
+from tidelog.plans import free_name, running_total, with_position
 from tidelog.schema import ENTRY_SCHEMA, EXPIRING, NORMAL, TOMBSTONE
 
 ENTRY_COLUMNS = ENTRY_SCHEMA.fieldNames()
@@ -70,11 +73,25 @@ def recovery_summary(log: DataFrame, min_seq: int = 0) -> DataFrame:
     return recover(log, min_seq).agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.max("seq"), F.lit(0).cast("long")).alias("max_seq"))
 
 
+def log_recovery(log: DataFrame, min_seq: int = 0) -> tuple[int, int]:
+    """entries and max_seq of :func:`recovery_summary`, computed at once and written to Python's log with the time that it took."""
+    began = time.monotonic()
+    entries, max_seq = recovery_summary(log, min_seq).first()
+    logging.getLogger(__name__).info("recovered %d entries up to sequence %d in %d ms", entries, max_seq, (time.monotonic() - began) * 1000)
+    return entries, max_seq
+
+
 def file_stats(log: DataFrame) -> DataFrame:
     """file_id, entries, bytes (as records on disk) of each file."""
     return log.groupBy("file_id").agg(F.count(F.lit(1)).alias("entries"), F.sum(fn.record_len()).alias("bytes"))
 
 
+def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key in an order."""
+    n = free_name("n", rows)
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(n) == 1).drop(n)
+
+
 def latest(log: DataFrame, *, order: str = "seq") -> DataFrame:
     """The newest version of each key, tombstones included.
 
@@ -86,8 +103,7 @@ def latest(log: DataFrame, *, order: str = "seq") -> DataFrame:
     by = places(log) if order == "arrival" else ["seq", *places(log)]
     if not by:
         raise ValueError("order by arrival needs file_id or ord")
-    newest = Window.partitionBy("key").orderBy(*(F.desc(c) for c in by))
-    return log.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n")
+    return first_of(log, ["key"], [F.desc(c) for c in by])
 
 
 def snapshot(log: DataFrame) -> DataFrame:
@@ -115,10 +131,12 @@ def as_of_seq(log: DataFrame, seq: int) -> DataFrame:
 
 
 def merge_tiers(tiers: list[DataFrame]) -> DataFrame:
-    """One row for each key from the first tier that has it (newest tier first), with the tier's number; tombstones included."""
-    numbered = reduce(DataFrame.unionByName, [latest(t).withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)])
-    first = Window.partitionBy("key").orderBy("tier")
-    return numbered.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    """One row for each key from the first tier that has it (newest tier first), with the tier's number; tombstones included.
+
+    All tiers go through one window, and so one shuffle: by tier, then the newest version within it.
+    """
+    numbered = reduce(DataFrame.unionByName, [t.withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)])
+    return first_of(numbered, ["key"], [F.asc("tier"), F.desc("seq"), *(F.desc(c) for c in places(numbered))])
 
 
 def compact(log: DataFrame, *, bottom: bool) -> DataFrame:
@@ -141,8 +159,7 @@ def dedup_entries(log: DataFrame) -> DataFrame:
     """One row for each key and sequence, the last by place; values don't count for equality."""
     if not places(log):
         return log.dropDuplicates(["key", "seq"])
-    last = Window.partitionBy("key", "seq").orderBy(*(F.desc(c) for c in places(log)))
-    return log.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n")
+    return first_of(log, ["key", "seq"], [F.desc(c) for c in places(log)])
 
 
 def entry_order(log: DataFrame) -> DataFrame:
@@ -155,19 +172,28 @@ def memtable_size(log: DataFrame) -> DataFrame:
     return latest(log).agg(F.coalesce(F.sum(fn.slot_size()), F.lit(0).cast("long")).alias("bytes"))
 
 
-def size_trajectory(log: DataFrame) -> DataFrame:
+def size_trajectory(log: DataFrame, *, chunk: int = 1 << 16) -> DataFrame:
     """Adds memtable_bytes: the memory table's size behind each write, in the order of sequence.
 
-    A new key adds its slot; a write to a known key adds the change of the value section.
+    A new key adds its slot; a write to a known key adds the change of the value section. The write before is looked up within chunks of the sequence,
+    so that a hot key is spread over tasks; one row a key and chunk goes through the window over chunks.
     """
-    per_key = Window.partitionBy("key").orderBy("seq", *places(log))
-    change = F.coalesce(fn.serialized_len() - F.lag(fn.serialized_len()).over(per_key), fn.slot_size())
-    return running_total(log.withColumn("__change", change), F.col("__change"), "seq", places(log), "memtable_bytes").drop("__change")
-
-
-def flush_points(log: DataFrame, memtable_bytes: int) -> DataFrame:
-    """seq and size at the first write with which the memory table reaches ``memtable_bytes``; no row if none does."""
-    full = size_trajectory(log).filter(F.col("memtable_bytes") >= memtable_bytes)
+    at, size, before, change = (free_name(c, log) for c in ("chunk", "size", "before", "change"))
+    rows = log.withColumn(size, fn.serialized_len()).withColumn(at, F.floor(F.col("seq") / chunk))
+    order = ["seq", *places(log)]
+    last = rows.groupBy("key", at).agg(F.max_by(size, F.struct(*order)).alias(before))
+    last = last.withColumn(before, F.lag(before).over(Window.partitionBy("key").orderBy(at)))
+    own = Window.partitionBy("key", at).orderBy(*order)
+    grown = F.col(size) - F.coalesce(F.lag(size).over(own), F.col(before))
+    rows = rows.join(last.withColumnRenamed("key", "of_key").withColumnRenamed(at, "of_chunk"), F.col("key").eqNullSafe(F.col("of_key")) & (F.col(at) == F.col("of_chunk"))).drop("of_key", "of_chunk")
+    rows = rows.withColumn(change, F.coalesce(grown, fn.slot_size())).drop(at, size, before)
+    return running_total(rows, F.col(change), "seq", places(log), "memtable_bytes", chunk).drop(change)
+
+
+def flush_points(log: DataFrame, memtable_bytes: int | None = None) -> DataFrame:
+    """seq and size at the first write with which the memory table reaches ``memtable_bytes`` (None: the configuration's memtable_size_mb); no row if none does."""
+    most = config.current().storage.memtable_size_mb << 20 if memtable_bytes is None else memtable_bytes
+    full = size_trajectory(log).filter(F.col("memtable_bytes") >= most)
     return full.groupBy().agg(F.min(F.struct("seq", "memtable_bytes")).alias("x")).filter("x IS NOT NULL").select("x.seq", "x.memtable_bytes")
 
 

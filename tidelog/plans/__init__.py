@@ -109,16 +109,18 @@ def own_columns(df: DataFrame) -> list[Column]:
 
 
 def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Adds each row's place (from 1) in a global order.
+    """Adds each row's place (from 1) in a global order. Writes the ordered rows when it is called, so that both passes see the same ones.
 
     Rows are range-partitioned and sorted; only a count for each partition is summed up in one place. Ties beyond ``order`` are
     placed in the order that the range partitions give them.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    placed = materialise(ranged).withColumn("__part", F.shiftright("__id", 33)).withColumn("__row", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return placed.join(before, "__part").withColumn(name, F.col("__before") + F.col("__row") + 1).drop("__id", "__part", "__row", "__before")
+    at, part, before = (free_name(c, df) for c in ("at", "part", "before"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    placed = materialise(ranged).withColumn(part, F.shiftright(at, 33))
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.select(part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    return placed.join(sums, part).withColumn(name, F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop(at, part, before)
 
 
 def running_total(df: DataFrame, value: Column, sequence: str, ties: list[str], name: str, chunk: int = 1 << 16) -> DataFrame:
@@ -126,8 +128,9 @@ def running_total(df: DataFrame, value: Column, sequence: str, ties: list[str],
 
     Totals are taken within chunks of the sequence; one row a chunk goes through the window over chunks.
     """
-    rows = df.withColumn("__value", value).withColumn("__chunk", F.floor(F.col(sequence) / chunk))
-    sums = rows.groupBy("__chunk").agg(F.sum("__value").alias("__sum"))
-    before = sums.select("__chunk", F.coalesce(F.sum("__sum").over(Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__chunk").orderBy(sequence, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__total", F.sum("__value").over(inside)).join(before, "__chunk").withColumn(name, F.col("__before") + F.col("__total")).drop("__value", "__chunk", "__total", "__before")
+    own, part, before = (free_name(c, df) for c in ("own", "part", "before"))
+    rows = df.withColumn(own, value).withColumn(part, F.floor(F.col(sequence) / chunk))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(part).agg(F.sum(own).alias("n")).select(part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    inside = Window.partitionBy(part).orderBy(sequence, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(own, F.sum(own).over(inside)).join(sums, part).withColumn(name, F.col(before) + F.col(own)).drop(own, part, before)

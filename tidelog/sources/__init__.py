@@ -7,19 +7,23 @@ there is one partition a file: land a log in Parquet before reading it repeatedl
 from __future__ import annotations
 
 import io
+import logging
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, WriterCommitMessage
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from tidelog.codec import Entry, encode_record, read_record
-from tidelog.errors import LogReadError, LogWriteError, TruncatedRecord
-from tidelog.schema import LOG_SCHEMA
+from tidelog import config
+from tidelog import functions as fn
+from tidelog.codec import Entry, Footer, encode_record, read_record
+from tidelog.errors import LogReadError, LogWriteError, TidelogError, TruncatedRecord
+from tidelog.schema import LOG_SCHEMA, U64
 
 SUFFIX = ".wal"
 BATCH_ROWS, BATCH_BYTES = 8192, 8 << 20
@@ -131,8 +135,11 @@ class Written(WriterCommitMessage):
     final: str | None
 
 
-class LogWriter(DataSourceWriter):
-    """A new file for each task that has rows. Files appear under their names when all tasks are done."""
+class LogWriter(DataSourceArrowWriter):
+    """A new file for each task that has rows. Files appear under their names when all tasks are done.
+
+    Rows are entries, or records that are encoded already (one binary column ``record``, as :func:`write_log` makes it in the JVM).
+    """
 
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.folder, self.overwrite = options["path"], overwrite
@@ -149,11 +156,15 @@ class LogWriter(DataSourceWriter):
         final = f"{at}/{file_name(self.first + task.partitionId())}"
         temporary = f"{final}.{task.taskAttemptId()}.tmp"
         out = None
-        for row in iterator:
+        for batch in iterator:
+            if not batch.num_rows:
+                continue
             if out is None:
                 out = open(temporary, "wb") if isinstance(store, fs.LocalFileSystem) else store.open_output_stream(temporary)
-            value = None if row["value"] is None else bytes(row["value"])
-            out.write(encode_record(Entry(bytes(row["key"]), row["seq"], row["tag"], value, row["expire_at"])))
+            if "record" in batch.schema.names:
+                out.write(b"".join(batch.column("record").to_pylist()))
+            else:
+                out.write(b"".join(encode_record(Entry(*row)) for row in zip(*(batch.column(c).to_pylist() for c in ("key", "seq", "tag", "value", "expire_at")), strict=True)))
         if out is None:
             return Written(None, None)
         out.flush()
@@ -163,15 +174,16 @@ class LogWriter(DataSourceWriter):
         return Written(temporary, final)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        """New files have higher numbers than old ones: they are put in place first, and old ones go after that, so that no crash loses a record."""
         store, _ = open_folder(self.folder)
-        if self.overwrite:
-            for _, path in self.old:
-                store.delete_file(path)
         for m in messages:
             if m is not None and m.temporary:
                 if store.get_file_info(m.final).type != fs.FileType.NotFound:
                     raise LogWriteError("the file exists", m.final)
                 store.move(m.temporary, m.final)
+        if self.overwrite:
+            for _, path in self.old:
+                store.delete_file(path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, _ = open_folder(self.folder)
@@ -181,10 +193,16 @@ class LogWriter(DataSourceWriter):
 
 
 class LogStream(DataSourceStreamReader):
-    """New files in the order of their ids; the offset is the highest id read. A file must be whole when it appears."""
+    """New files in the order of their ids; the offset is the highest id read. A file must be whole when it appears.
+
+    ``min_seq`` and ``strict`` hold as for batches (with ``strict``, no file may end within a record). Files that appear with an id
+    at or below the offset are never read; each batch names those of them that came since the last one in the driver's log.
+    """
 
     def __init__(self, options: dict[str, str]):
-        self.folder = options["path"]
+        self.folder, self.strict = options["path"], options.get("strict", "false").lower() == "true"
+        self.min_seq: int | None = int(options["min_seq"]) if "min_seq" in options else None
+        self.known: set[int] | None = None
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"file_id": -1}
@@ -193,14 +211,22 @@ class LogStream(DataSourceStreamReader):
         return {"file_id": max((i for i, _ in log_files(self.folder)), default=-1)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [LogFile(self.folder, path, i, True) for i, path in log_files(self.folder) if start["file_id"] < i <= end["file_id"]]
+        files = log_files(self.folder)
+        below = {i for i, _ in files if i <= start["file_id"]}
+        if self.known is not None and (late := sorted(below - self.known)):
+            logging.getLogger(__name__).warning("log files %s of %s came after later ones and are not read", late, self.folder)
+        self.known = below | {i for i, _ in files if i <= end["file_id"]}
+        return [LogFile(self.folder, path, i, not self.strict, self.min_seq) for i, path in files if start["file_id"] < i <= end["file_id"]]
 
     def read(self, partition: LogFile) -> Iterator[pa.RecordBatch]:
         yield from read_batches(partition)
 
 
 class LogSource(DataSource):
-    """``spark.read.format("kvwal")``. Options: ``path``; ``min_seq``; ``strict`` (only the newest file may end within a record)."""
+    """``spark.read.format("kvwal")``. Options: ``path`` (else the configuration's data_dir); ``min_seq``; ``strict`` (only the newest file may end within a record)."""
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options if "path" in options else {**options, "path": config.current().storage.data_dir})
 
     @classmethod
     def name(cls) -> str:
@@ -223,3 +249,57 @@ def register(spark: SparkSession) -> None:
     """Make the format known to a session and let lower bounds of seq reach the reader."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(LogSource)
+
+
+def write_log(log: DataFrame, folder: str, *, mode: str = "append") -> None:
+    """Write a log's entries as log files, one a task. Records are encoded in the JVM; Python workers only write bytes."""
+    register(log.sparkSession)
+    log.select(fn.encode_record().alias("record")).write.format("kvwal").mode(mode).save(folder)
+
+
+def decode_records(df: DataFrame, record: str = "record") -> DataFrame:
+    """Adds to ``df`` what the record at the beginning of a binary column holds: error (the class of what is wrong, null if nothing is), key, seq, tag, value, expire_at.
+
+    A null or empty record is a clean end: no error and no entry. ``df`` must not have columns of these names.
+    """
+    columns = df.columns
+    fields = [("error", pa.string()), *((f.name, f.type) for f in ARROW if f.name not in ("file_id", "ord"))]
+
+    def run(batches):
+        for batch in batches:
+            made: list[list] = [[] for _ in fields]
+            for data in batch.column(columns.index(record)).to_pylist():
+                error, entry = None, None
+                try:
+                    entry = read_record(io.BytesIO(data or b""))
+                except LogReadError as e:
+                    error = type(e).__name__
+                for c, x in zip(made, (error, *((entry.key, entry.seq, entry.tag, entry.value, entry.expire_at) if entry else [None] * 5)), strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, (_, t) in zip(made, fields, strict=True))], names=[*columns, *(n for n, _ in fields)])
+
+    added = StructType().add("error", "string").add("key", "binary").add("seq", "long").add("tag", "byte").add("value", "binary").add("expire_at", "long")
+    return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
+
+
+def decode_footers(df: DataFrame, footer: str = "footer") -> DataFrame:
+    """Adds to ``df`` what a binary column of table footers holds: meta_offset, meta_size, index_offset, index_size (DECIMAL(20, 0)) and valid_magic, or error (the class of what is wrong). ``df`` must not have columns of these names."""
+    columns = df.columns
+    names = ["meta_offset", "meta_size", "index_offset", "index_size"]
+
+    def one(data: bytes | None) -> tuple:
+        try:
+            found = Footer.decode(data or b"")
+        except TidelogError as e:
+            return (*[None] * 5, type(e).__name__)
+        numbers = (found.meta_index.offset, found.meta_index.size, found.index.offset, found.index.size)
+        return (*map(Decimal, numbers), found.valid_magic(), None)
+
+    def run(batches):
+        for batch in batches:
+            rows = [one(x) for x in batch.column(columns.index(footer)).to_pylist()]
+            kinds = [*[pa.decimal128(20, 0)] * 4, pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names=[*columns, *names, "valid_magic", "error"])
+
+    added = StructType([*(StructField(c, U64) for c in names), StructField("valid_magic", BooleanType()), StructField("error", StringType())])
+    return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
