@@ -52,6 +52,22 @@ def test_shuffled_join_gives_the_same(spark, monkeypatch):
     want = sorted(map(tuple, dc.digest(docs, bench).collect()))
     monkeypatch.setattr(dc, "MOST_BROADCAST", 0)
     assert sorted(map(tuple, dc.digest(docs, bench).collect())) == want
+    same_rows(queries.op1_decontamination(spark, SF).toPandas(), duck(SF).sql(queries.oracle_sql()["op1_decontamination"]).df())
+
+
+def test_removal_takes_linear_time(spark):
+    """A long text with hits all over: 20,000 words, and no more than a few times what a quarter of it takes."""
+    import time
+
+    bench = bench_of(spark, (1, ITEM))
+    seconds = []
+    for n in (500, 500, 2000):
+        text = f"some words that are its own {ITEM}; " * n
+        began = time.perf_counter()
+        got = dc.remove_contamination(docs_of(spark, (1, text)), bench).first()["text"]
+        seconds.append(time.perf_counter() - began)
+        assert got == "some words that are its own; " * n
+    assert seconds[2] < 4 * seconds[1] + 10
 
 
 def test_removal(spark):

@@ -1,7 +1,7 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The benchmark's word windows are normalised and broadcast once their number is checked to be within a bound (else the same join
-is shuffled). Documents' windows are looked up by their text, which is hashed and then compared in full.
+The benchmark's word windows are normalised and broadcast once their size is checked to be within a bound. Beyond it a filter of their
+hashes is broadcast (8 MB at most), and only document windows that pass it are shuffled to the same join. Documents' windows are looked up by their text, which is hashed and then compared in full.
 """
 
 from __future__ import annotations
@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import free_name, materialise, own_columns, quoted, row_key
+from tidelog.llm.graph import possible
 
 #: A word: a run of ASCII letters and digits and of anything beyond ASCII (fixed value).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Most benchmark windows to broadcast; about 100 bytes each.
-MOST_BROADCAST = 200_000
+#: Most bytes of benchmark windows and item ids to broadcast.
+MOST_BROADCAST = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -44,17 +45,20 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, doc_id:
     Rows equal in id and text are one. Tables without rows and texts without words give no hits.
     """
     grams = benchmark_windows(benchmark, width=width, item_id=item_id).groupBy("gram").agg(F.collect_set("item").alias("gram_items"), F.first("len").alias("gram_len"))
-    facts = grams.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("gram_len")).alias("widths")).first()  # one row, at most ``width`` widths
+    size = F.octet_length("gram") + F.aggregate("gram_items", F.lit(0), lambda total, item: total + F.octet_length(item) + 16)
+    facts = grams.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.sort_array(F.collect_set("gram_len")).alias("widths")).first()  # one row, at most ``width`` widths
     widths = facts["widths"]
     grams = grams.drop("gram_len")
-    if facts["n"] <= MOST_BROADCAST:
-        grams = F.broadcast(grams)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     base = base.select("doc_id", row_key("doc_id", "text").alias("key"), words(F.col("text")).alias("w"))
     # the entry without a gram keeps every document in the result
     none = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("gram")))
     scanned = base.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(none, *(windows(F.col("w"), n) for n in widths))).alias("x"))
     scanned = scanned.select("doc_id", "key", "n_words", "x.pos", "x.len", "x.gram")
+    if facts["bytes"] <= MOST_BROADCAST:
+        grams = F.broadcast(grams)
+    else:
+        scanned = possible(scanned, F.col("gram"), grams.select("gram").unionByName(grams.sparkSession.createDataFrame([(None,)], "gram string")), facts["n"])  # the null keeps the entries without a gram
     hits = scanned.join(grams, "gram", "left").filter((F.col("pos") == 0) | F.col("gram_items").isNotNull())
     place = F.when(F.col("pos") > 0, F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("end")))
     grouped = hits.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.count(F.when(F.col("pos") == 0, True)).alias("n_rows"), F.array_distinct(F.flatten(F.collect_set("gram_items"))).alias("items"), F.sort_array(F.collect_set(place)).alias("places"))

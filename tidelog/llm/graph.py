@@ -11,8 +11,8 @@ from tidelog.llm.common import Scratch, materialise
 
 #: Least and most bits of the filter in :func:`possible` (at most 8 MB to broadcast), and bits for each wanted key between them.
 FILTER_BITS, MOST_FILTER_BITS, BITS_A_KEY = 1 << 20, 1 << 26, 16
-#: One in so many buckets takes part in the first comparison. Further rounds of comparing with leaders, at most, and how many pairs a member may stand in before one is tried.
-FIRST, ROUNDS, PAIRS_A_MEMBER = 8, 2, 16
+#: Further rounds of comparing with leaders, at most, and how many pairs a member may stand in before one is tried.
+ROUNDS, PAIRS_A_MEMBER = 2, 16
 
 
 def connected_components(edges: DataFrame, work: Scratch) -> DataFrame:
@@ -49,27 +49,27 @@ def possible(rows: DataFrame, key: Column, wanted: DataFrame, n: int | None = No
     return found.filter(F.call_function("shiftrightunsigned", F.col("__bits"), F.col("__bit")).bitwiseAND(F.lit(1).cast("long")) == 1).select(*rows.columns)
 
 
-def linked_groups(nodes: DataFrame, may_link: Callable[[Callable, Callable], Column], verify: Callable[[DataFrame, Scratch], DataFrame], sharper: Callable[[DataFrame, Scratch], DataFrame] | None = None, may_link_sharper: Callable[[Callable, Callable], Column] | None = None) -> DataFrame:
+def linked_groups(nodes: DataFrame, may_link: Callable[[Callable, Callable], Column], verify: Callable[[DataFrame, Scratch], DataFrame], sharper: Callable[[DataFrame, Scratch], DataFrame] | None = None, may_link_sharper: Callable[[Callable, Callable], Column] | None = None, first: int = 1) -> DataFrame:
     """(node, component) of all nodes with a verified link; no link between two components is left out.
 
     ``nodes`` has a row for each node: node (long), keys (array of long: the buckets that it stands in) and facts; ``may_link`` is
     a cheap necessary condition on two nodes' facts; ``verify`` adds ``linked`` to pairs (a, b).
 
-    First, in one of FIRST buckets, every member is compared with one leader. Links within a component then need no more comparison. In buckets that
+    First, in one of ``first`` buckets (by hash; more where linked nodes share many buckets), every member is compared with one leader. Links within a component then need no more comparison. In buckets that
     still hold several components, members outside the bucket's largest component are compared with other leaders, and components are joined,
     round after round while comparing all of them would take many more pairs than there are members; a round adds two pairs a member at most. In the
     end the members that are still outside are compared with all members of other components, so that no link depends on the rounds. For that step
     ``sharper`` may give a table of nodes more facts, and ``may_link_sharper`` a condition on them.
     """
     with Scratch(nodes.sparkSession) as work:
-        return materialise(_linked_groups(nodes, may_link, verify, sharper, may_link_sharper, work), "groups")
+        return materialise(_linked_groups(nodes, may_link, verify, sharper, may_link_sharper, first, work), "groups")
 
 
 def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _linked_groups(nodes: DataFrame, may_link: Callable, verify: Callable, sharper: Callable | None, may_link_sharper: Callable | None, work: Scratch) -> DataFrame:
+def _linked_groups(nodes: DataFrame, may_link: Callable, verify: Callable, sharper: Callable | None, may_link_sharper: Callable | None, first: int, work: Scratch) -> DataFrame:
     facts = [c for c in nodes.columns if c not in ("node", "keys")]
 
     def candidates(pairs: DataFrame) -> DataFrame:
@@ -85,8 +85,8 @@ def _linked_groups(nodes: DataFrame, may_link: Callable, verify: Callable, sharp
     several = members.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select("bucket", "lead")
     members = work.table(members.join(work.table(several, "buckets"), "bucket"), "members")
     held = work.table(nodes.join(members.select("node").distinct(), "node"), "facts")
-    first = members.filter(F.col("node") != F.col("lead")).filter(F.pmod(F.xxhash64("bucket"), F.lit(FIRST)) == 0)
-    tried = candidates(first.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    led = members.filter((F.col("node") != F.col("lead")) & (F.pmod(F.xxhash64("bucket"), F.lit(first)) == 0))
+    tried = candidates(led.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     links = links_among(tried)
     components = connected_components(links, work)
     for number in range(ROUNDS + 1):
