@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WHITE_SPACE, broadcast_file, free_name, map_arrow, numbered, quoted
+from tidelog.llm.common import WHITE_SPACE, broadcast_file, map_arrow, numbered, texts_of, with_text
 
 #: The vocabulary's splitting rule (fixed value, published with the vocabulary).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -149,7 +149,7 @@ class ChunkCache(dict):
     older one being dropped when the younger is full; chunks longer than ``longest`` are not kept.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], special: dict[str, int], special_split, entries: int = 400_000, longest: int = 64):
+    def __init__(self, encode: Callable[[str], bytes], special: dict[str, int], special_split, entries: int = 150_000, longest: int = 64):
         super().__init__()
         self.encode, self.special, self.special_split, self.entries, self.longest = encode, special, special_split, entries, longest
         self.old: dict[str, bytes] = {}
@@ -230,7 +230,7 @@ def worker_packer(content: bytes) -> tuple[ByteBPE, ChunkCache]:
     return _PACKERS[key]
 
 
-def slices(texts: list[str], chars: int = 4_000_000) -> Iterable[list[str]]:
+def slices(texts: Iterable[str], chars: int = 4_000_000) -> Iterable[list[str]]:
     """Consecutive runs of texts of about so many characters, so that a batch's working set stays bounded."""
     run, size = [], 0
     for t in texts:
@@ -260,9 +260,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text", ke
         bpe, cache = worker_packer(held.value)
 
         def step(batch: pa.RecordBatch):
-            texts = ["" if t is None else t for t in batch.column(len(keep)).to_pylist()]
             start = 0
-            for run in slices(texts):
+            for run in slices("" if t is None else t for t in texts_of(batch.column(at))):
                 packed = [cache.packed(t) for t in run]
                 counts = np.array([len(p) // 4 for p in packed], dtype=np.int64)
                 flat = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32)
@@ -278,7 +277,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text", ke
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
     schema = StructType([*fields, StructField("ids", ArrayType(IntegerType(), True)), StructField("decoded", StringType())])
-    source = docs.select(*(F.col(quoted(c)) for c in keep), F.col(quoted(text)).cast("string").alias("own_text"))
+    source, at = with_text(docs, keep, text)
     return map_arrow(numbered(source), make, schema)
 
 
@@ -290,9 +289,8 @@ def encoding_digest(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id",
         bpe, cache = worker_packer(held.value)
 
         def step(batch: pa.RecordBatch):
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             n, ids_sha, text_sha = [], [], []
-            for run in slices(texts):
+            for run in slices("" if t is None else t for t in texts_of(batch.column("text"))):
                 packed = [cache.packed(t) for t in run]
                 n += [len(p) // 4 for p in packed]
                 ids_sha += [hashlib.sha256(p).hexdigest() for p in packed]

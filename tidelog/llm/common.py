@@ -32,6 +32,20 @@ def broadcast_file(spark: SparkSession, path: str) -> object:
         return spark.sparkContext.broadcast(f.read())
 
 
+def with_text(df: DataFrame, columns: list[str], text: str) -> tuple[DataFrame, int]:
+    """The named columns with the text as a string among them, and its place: the column itself where it is one, else one more at the end."""
+    kept = df.select(*(F.col(quoted(c)) for c in columns))
+    if text in columns and df.schema[text].dataType.simpleString() == "string":
+        return kept, columns.index(text)
+    return df.select(*(F.col(quoted(c)) for c in columns), F.col(quoted(text)).cast("string").alias("own_text")), len(columns)
+
+
+def texts_of(column, most: int = 512):
+    """The values of an Arrow column, so many of them as Python strings at a time."""
+    for at in range(0, len(column), most):
+        yield from column.slice(at, most).to_pylist()
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with columns named by their places, as ``mapInArrow`` can't take every name; its schema gives them their names back."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tidelog.llm.common import fit_logistic, free_name, map_arrow, numbered, materialise, own_columns
+from tidelog.llm.common import fit_logistic, free_name, map_arrow, materialise, numbered, own_columns, texts_of, with_text
 
 #: Length in n-grams to which log-weights are brought: the temperature of the sampling (with the whole sum, long texts always win; the longer, the less noise
 #: decides). N-grams of ratio 0 added to each text, so that short texts have weights near 1.
@@ -120,7 +120,7 @@ def score_documents(docs: DataFrame, ratio: np.ndarray, names: list[str], *, see
 
         def step(batch: pa.RecordBatch):
             sizes, sums = [], []
-            for text in batch.column(len(columns)).to_pylist():
+            for text in texts_of(batch.column(at)):
                 found = ngram_buckets(text or "", hashes, buckets)
                 sizes.append(len(found))
                 sums.append(float(ratio[found].sum()))
@@ -129,7 +129,8 @@ def score_documents(docs: DataFrame, ratio: np.ndarray, names: list[str], *, see
         return step
 
     schema = StructType([*docs.schema.fields, StructField(n, LongType()), StructField(total, DoubleType())])
-    scored = map_arrow(numbered(docs.select(*own_columns(docs), F.col("text").cast("string").alias("own_text"))), make, schema)
+    source, at = with_text(docs, columns, "text")
+    scored = map_arrow(numbered(source), make, schema)
     scored = scored.withColumn(weight, LENGTH * F.col(total) / (F.col(n) + PRIOR))
     return scored.withColumn(key, F.col(weight) + gumbel(F.lit(seed), F.col("doc_id"), F.col("text").cast("string")))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import broadcast_file, free_name, map_arrow, numbered, quoted
+from tidelog.llm.common import broadcast_file, map_arrow, numbered, quoted
 
 MARK = "▁"
 #: How much worse than the worst piece a character outside the vocabulary is (fixed value of unigram models).
