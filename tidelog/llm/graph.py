@@ -49,7 +49,7 @@ def possible(rows: DataFrame, key: Column, wanted: DataFrame, n: int | None = No
     return found.filter(F.call_function("shiftrightunsigned", F.col("__bits"), F.col("__bit")).bitwiseAND(F.lit(1).cast("long")) == 1).select(*rows.columns)
 
 
-def linked_groups(nodes: DataFrame, may_link: Callable[[Callable, Callable], Column], verify: Callable[[DataFrame, Scratch], DataFrame], sharper: Callable[[DataFrame, Scratch], DataFrame] | None = None, may_link_sharper: Callable[[Callable, Callable], Column] | None = None, first: int = 1) -> DataFrame:
+def linked_groups(nodes: DataFrame, may_link: Callable[[Callable, Callable], Column], verify: Callable[[DataFrame, Scratch], DataFrame], sharper: Callable[[DataFrame, Scratch], DataFrame] | None = None, may_link_sharper: Callable[[Callable, Callable], Column] | None = None, first: int = 1, within: Scratch | None = None) -> DataFrame:
     """(node, component) of all nodes with a verified link; no link between two components is left out.
 
     ``nodes`` has a row for each node: node (long), keys (array of long: the buckets that it stands in) and facts; ``may_link`` is
@@ -59,10 +59,11 @@ def linked_groups(nodes: DataFrame, may_link: Callable[[Callable, Callable], Col
     still hold several components, members outside the bucket's largest component are compared with other leaders, and components are joined,
     round after round while comparing all of them would take many more pairs than there are members; a round adds two pairs a member at most. In the
     end the members that are still outside are compared with all members of other components, so that no link depends on the rounds. For that step
-    ``sharper`` may give a table of nodes more facts, and ``may_link_sharper`` a condition on them.
+    ``sharper`` may give a table of nodes more facts, and ``may_link_sharper`` a condition on them. The result is a working table of ``within``, if that is given.
     """
     with Scratch(nodes.sparkSession) as work:
-        return materialise(_linked_groups(nodes, may_link, verify, sharper, may_link_sharper, first, work), "groups")
+        groups = _linked_groups(nodes, may_link, verify, sharper, may_link_sharper, first, work)
+        return materialise(groups, "groups") if within is None else within.table(groups, "groups")
 
 
 def _ordered(x: str, y: str) -> list[Column]:
@@ -101,10 +102,10 @@ def _linked_groups(nodes: DataFrame, may_link: Callable, verify: Callable, sharp
         leaders = rest.groupBy("bucket").agg(F.min_by("node", F.when(~F.col("outside"), order)).alias("l0"), F.min_by("node", F.when(F.col("outside"), order)).alias("l1"))
         shared = rest.filter("outside").select("bucket", "node").join(leaders, "bucket").select("node", F.explode(F.array("l0", "l1")).alias("lead"))
         fresh = candidates(shared.filter("node <> lead").select(*_ordered("node", "lead")).distinct().join(tried, ["a", "b"], "left_anti"))
-        found = links_among(fresh)
+        found, tried = links_among(fresh), tried.union(fresh)
         if found.isEmpty():
             break
-        tried, links = tried.union(fresh), links.union(found)
+        links = links.union(found)
         components = connected_components(links, work)
         work.drop(rest)
     if not cost["pairs"]:

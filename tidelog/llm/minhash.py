@@ -225,7 +225,7 @@ def _grouped(docs: DataFrame, width: int, percent: int, more: tuple[str, ...] =
             return both.select("a", "b", (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked"))
 
         keys = F.array(*(f"b{i}" for i in range(BANDS))).alias("keys")
-        components = linked_groups(nodes.select("node", keys, "n", "s0", "s1", "s2"), may_link, verify, sharper, may_link_sharper, first=8)
+        components = linked_groups(nodes.select("node", keys, "n", "s0", "s1", "s2"), may_link, verify, sharper, may_link_sharper, first=8, within=work)
         # only sets with copies or links: the others' rows need no join
         placed = nodes.select("k0", "k1", "node", "rows", "first_id").join(components, "node", "left").filter((F.col("rows") > 1) | F.col("component").isNotNull())
         placed = work.table(placed.select("k0", "k1", "first_id", F.coalesce("component", "node").alias("component")), "grouped-sets")
