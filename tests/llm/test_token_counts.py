@@ -41,6 +41,18 @@ def test_trie_equals_brute_force():
     assert [tiny.count(w)[1] for w in WORDS] == [brute(w)[1] for w in WORDS] and len(tiny.best) < 80
 
 
+def test_pieces_that_end_at_each_place():
+    """The automaton finds all pieces that end behind each character, so that no other end is looked up; scores equal plain dynamic programming exactly."""
+    pieces = token_counts.Pieces(SCORES.score)
+    for w in WORDS:
+        state = 0
+        for d, c in enumerate(w, 1):
+            state = pieces.step(state, ord(c))
+            assert pieces.ends[state] == tuple((k, SCORES.score[w[d - k : d]]) for k in range(min(d, SCORES.longest), 0, -1) if w[d - k : d] in SCORES.score)
+    trie = CountingTrie(SCORES, deepest=3)
+    assert [trie.count(w) for w in WORDS * 2] == [brute(w) for w in WORDS * 2]
+
+
 def test_equals_the_library():
     model = Unigram([("<unk>", 0.0), *SCORES.score.items()], 0, False)
     for w in WORDS:

@@ -2,7 +2,8 @@
 
 Pre-tokens (runs without white space, behind a word mark) go into a trie. Each node holds the best unigram
 score of its prefix and the number of tokens of that segmentation, computed once when the node is made from
-its ancestors' scores; a pre-token's count is read off its terminal node.
+its ancestors' scores; a pre-token's count is read off its terminal node. The pieces that end at a node come from an
+automaton of all pieces, whose state a node keeps.
 """
 
 from __future__ import annotations
@@ -41,54 +42,98 @@ class UnigramScores:
         self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
 
 
+class Pieces:
+    """Automaton of all pieces (Aho-Corasick): a state stands for the longest end of what was read that begins a piece."""
+
+    def __init__(self, score: dict[str, float]):
+        self.after: dict[int, int] = {}
+        self.shorter = [0]
+        #: (length, score) of the pieces that end in a state, the longest first.
+        self.ends: list[tuple[tuple[int, float], ...]] = [()]
+        depth = [0]
+        for piece, s in score.items():
+            state = 0
+            for c in piece:
+                edge = state << 21 | ord(c)
+                state = self.after.get(edge, 0)
+                if not state:
+                    state = self.after[edge] = len(depth)
+                    depth.append(depth[edge >> 21] + 1)
+                    self.shorter.append(0)
+                    self.ends.append(())
+            self.ends[state] = ((len(piece), s),)
+        for edge, state in sorted(self.after.items(), key=lambda x: depth[x[1]]):  # shorter states are whole before longer ones
+            if edge >> 21:
+                self.shorter[state] = self.step(self.shorter[edge >> 21], edge & 0x1FFFFF)
+                self.ends[state] += self.ends[self.shorter[state]]
+
+    def step(self, state: int, code: int) -> int:
+        """The state behind one more character."""
+        after = self.after.get
+        found = after(state << 21 | code)
+        while found is None:
+            if not state:
+                return 0
+            state = self.shorter[state]
+            found = after(state << 21 | code)
+        return found
+
+
 class CountingTrie:
     """Trie of pre-tokens with forward scores. ``most`` bounds its nodes: beyond it the trie starts anew."""
 
     def __init__(self, scores: UnigramScores, most: int = 600_000, deepest: int = 64):
         self.scores, self.most, self.deepest = scores, most, deepest
+        self.pieces = Pieces(scores.score)
         self.clear()
 
     def clear(self) -> None:
         self.children: dict[int, int] = {}
-        self.best, self.tokens = array("d", [0.0]), array("i", [0])
-
-    def forward(self, word: str, d: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
-        """Score and count of ``word[:d]`` from those of its shorter prefixes; among equal scores, the fewest tokens."""
-        get, top, n = self.scores.score.get, -math.inf, 0
-        for k in range(max(0, d - self.scores.longest), d):
-            s = get(word[k:d])
-            if s is not None:
-                s += best[k]
-                if s > top or s == top and tokens[k] + 1 < n:
-                    top, n = s, tokens[k] + 1
-        if word[d - 1] not in self.scores.score:
-            s = best[d - 1] + self.scores.unknown
-            if s > top:
-                top, n = s, tokens[d - 1] + len(word[d - 1].encode())
-        return top, n
+        self.best, self.tokens, self.states = array("d", [0.0]), array("i", [0]), array("i", [0])
 
     def count(self, word: str) -> tuple[float, int]:
-        """Best score and its number of tokens. Nodes are shared down to depth ``deepest``; what lies deeper is computed on the spot."""
-        children, all_best, all_tokens = self.children, self.best, self.tokens
-        if len(all_best) >= self.most:
+        """Best score and its number of tokens; among equal scores, the fewest. Nodes are shared down to depth ``deepest``; what lies deeper is computed on the spot."""
+        if len(self.best) >= self.most:
             self.clear()
-            children, all_best, all_tokens = self.children, self.best, self.tokens
-        node, best, tokens = 0, [0.0], [0]
-        for d in range(1, len(word) + 1):
-            if d > self.deepest:
-                s, n = self.forward(word, d, best, tokens)
-            else:
-                edge = node << 21 | ord(word[d - 1])
-                node = children.get(edge, 0)
-                if node:
-                    s, n = all_best[node], all_tokens[node]
-                else:
-                    s, n = self.forward(word, d, best, tokens)
-                    node = children[edge] = len(all_best)
-                    all_best.append(s)
-                    all_tokens.append(n)
-            best.append(s)
+        children, all_best, all_tokens, states = self.children, self.best, self.tokens, self.states
+        after, shorter, ends, unknown = self.pieces.after, self.pieces.shorter, self.pieces.ends, self.scores.unknown
+        codes = list(map(ord, word))
+        # down the shared nodes
+        node, path, find = 0, [0], children.get
+        for code in codes[: self.deepest]:
+            node = find(node << 21 | code, 0)
+            if not node:
+                break
+            path.append(node)
+        known, node = len(path) - 1, path[-1]
+        if known == len(codes):
+            return all_best[node], all_tokens[node]
+        state = states[node]
+        best, tokens = [all_best[i] for i in path], [all_tokens[i] for i in path]
+        for d in range(known, len(codes)):
+            code = codes[d]
+            found = after.get(state << 21 | code)
+            while found is None and state:
+                state = shorter[state]
+                found = after.get(state << 21 | code)
+            state = found or 0
+            top, n, length = -math.inf, 0, 0
+            for length, score in ends[state]:
+                s = best[-length] + score
+                if s > top or s == top and tokens[-length] + 1 < n:
+                    top, n = s, tokens[-length] + 1
+            if length != 1:  # no piece covers the character alone
+                s = best[-1] + unknown
+                if s > top:
+                    top, n = s, tokens[-1] + len(word[d].encode())
+            best.append(top)
             tokens.append(n)
+            if d < self.deepest:
+                edge = node << 21 | code
+                node = children[edge] = len(all_best)
+                all_best.append(top)
+                all_tokens.append(n)
+                states.append(state)
         return best[-1], tokens[-1]
 
 
