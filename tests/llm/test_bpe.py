@@ -63,3 +63,12 @@ def test_rows(spark):
     assert got.columns == ["doc_id", "text", "more", "ids", "decoded"]
     assert sorted((str(r["doc_id"]), len(r["ids"]), r["decoded"]) for r in got.collect()) == sorted([("1", 0, ""), ("None", 0, ""), *[("3", len(LIBRARY.encode("hello hello\nworld").ids), "hello hello\nworld")] * 2])
     assert bpe.encode_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_working_set_of_a_batch():
+    """Decoding a run takes about 25 bytes a byte of text in each worker, so runs are small; no text is lost between them."""
+    from tidelog.llm.bpe import slices
+
+    runs = list(slices(str(i).zfill(1000) for i in range(4500)))
+    assert [t for run in runs for t in run] == [str(i).zfill(1000) for i in range(4500)]
+    assert max(sum(map(len, run)) for run in runs) <= 1_000_000

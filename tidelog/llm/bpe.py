@@ -230,8 +230,8 @@ def worker_packer(content: bytes) -> tuple[ByteBPE, ChunkCache]:
     return _PACKERS[key]
 
 
-def slices(texts: Iterable[str], chars: int = 4_000_000) -> Iterable[list[str]]:
-    """Consecutive runs of texts of about so many characters, so that a batch's working set stays bounded."""
+def slices(texts: Iterable[str], chars: int = 1_000_000) -> Iterable[list[str]]:
+    """Consecutive runs of texts of about so many characters, so that a batch's working set stays bounded (decoding takes about 25 bytes a byte of text)."""
     run, size = [], 0
     for t in texts:
         run.append(t)
